@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngram_join, token_store
+from . import byte_bpe, ngram_join, token_store
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,8 +23,15 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.round_trip(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of byte-level BPE and back."""
+    import public_tokenizers
+
+    return byte_bpe.digests(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ngram_join, op8_token_store)}
+    return {f.__name__: f for f in (op1_ngram_join, op8_token_store, op9_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
