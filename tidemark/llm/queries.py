@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, ngram_join, token_store
+from . import byte_bpe, decontaminate, ngram_join, suffix_dedup, token_store
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,11 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(_documents(spark, sf_dir))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start_word, n_words, first_doc_id, first_word of every passage of 50 words or more that an earlier document holds."""
+    return suffix_dedup.repeats(_documents(spark, sf_dir))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated against all of benchmark."""
     return decontaminate.report(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -36,7 +41,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ngram_join, op7_decontaminate, op8_token_store, op9_byte_bpe)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_suffix_dedup, op7_decontaminate, op8_token_store, op9_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
