@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, ngram_join, suffix_dedup, token_store
+from . import byte_bpe, decontaminate, embedding_dedup, ngram_join, sharding, suffix_dedup, token_store
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,16 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeats(_documents(spark, sf_dir))
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard with 40 shards."""
+    return sharding.assign(_documents(spark, sf_dir))
+
+
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, n_links, component_id, kept of all embeddings at cosine 0.93."""
+    return embedding_dedup.link(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated against all of benchmark."""
     return decontaminate.report(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -41,7 +51,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ngram_join, op2_suffix_dedup, op7_decontaminate, op8_token_store, op9_byte_bpe)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_suffix_dedup, op4_sharding, op5_embedding_dedup, op7_decontaminate, op8_token_store, op9_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
