@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, embedding_dedup, ngram_join, sharding, suffix_dedup, token_store
+from . import byte_bpe, decontaminate, embedding_dedup, language_id, ngram_join, quality, sharding, suffix_dedup, token_store
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,17 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeats(_documents(spark, sf_dir))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score, rejected of all documents."""
+    return language_id.identify(_documents(spark, sf_dir))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of all documents."""
+    docs = _documents(spark, sf_dir)
+    return quality.score(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard with 40 shards."""
     return sharding.assign(_documents(spark, sf_dir))
@@ -51,7 +62,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ngram_join, op2_suffix_dedup, op4_sharding, op5_embedding_dedup, op7_decontaminate, op8_token_store, op9_byte_bpe)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_suffix_dedup, op3_language_id, op4_sharding, op5_embedding_dedup, op7_decontaminate, op8_token_store, op9_byte_bpe, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
