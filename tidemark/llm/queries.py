@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, embedding_dedup, language_id, ngram_join, quality, sharding, suffix_dedup, token_store
+from . import byte_bpe, decontaminate, embedding_dedup, language_id, license_scan, ngram_join, quality, sharding, suffix_dedup, token_store
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +42,11 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.link(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans of all documents."""
+    return license_scan.scan(_documents(spark, sf_dir))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated against all of benchmark."""
     return decontaminate.report(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -62,7 +67,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ngram_join, op2_suffix_dedup, op3_language_id, op4_sharding, op5_embedding_dedup, op7_decontaminate, op8_token_store, op9_byte_bpe, op10_quality)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_suffix_dedup, op3_language_id, op4_sharding, op5_embedding_dedup, op6_license_scan, op7_decontaminate, op8_token_store, op9_byte_bpe, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
