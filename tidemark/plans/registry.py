@@ -2,10 +2,35 @@
 
 from __future__ import annotations
 
+import importlib
+
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
+_MODULES = ("signals",)
+
+
+def query(sql: str | None = None):
+    """Registers a function (spark, sf_dir) under its name, with DuckDB SQL for the same rows where there is some."""
+
+    def keep(f):
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def _load() -> None:
+    for m in _MODULES:
+        importlib.import_module(f"tidemark.plans.{m}")
+
 
 def queries() -> dict:
-    return {}
+    _load()
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(_SQL)
