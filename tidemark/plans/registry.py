@@ -6,7 +6,7 @@ import importlib
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
-_MODULES = ("signals",)
+_MODULES = ("signals", "joins")
 
 
 def query(sql: str | None = None):
