@@ -6,7 +6,7 @@ import importlib
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
-_MODULES = ("signals", "joins")
+_MODULES = ("signals", "joins", "texts", "reports")
 
 
 def query(sql: str | None = None):
