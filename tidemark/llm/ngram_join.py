@@ -17,10 +17,14 @@ such sets also send the prefix keys of their sorted hashes, of which linked
 sets share one. So no link is lost whatever the data are.
 
 Equal sets share one 64-bit fingerprint and are one node from the start.
-Buckets of equal keys are never expanded into all pairs first: every member
-is verified against the bucket's smallest node, components are taken, and
-only members of a bucket that are still in different components are paired
-and verified in a second pass.
+Every node also has a bit sketch of at least twice as many bits as it has
+shingles, in which each shingle flips one bit; the Hamming distance of two
+bit sketches is at most the symmetric difference too, so pairs above D are
+no links. Buckets of equal keys are never expanded into rows of pairs: each
+member is first held against the bucket's smallest node (sketch, then the
+sets), components are taken, and members still in different components are
+compared by sketch, in blocks of at most BLOCK members a side. Only pairs
+within D leave a block, for the second verification.
 """
 
 from __future__ import annotations
@@ -31,12 +35,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .exchange import BLOCK, blocks, dealt, keep_ids, parts, read_blocks, small_ids, spread, stored
+from .exchange import BLOCK as BLOCK_SQL
+from .exchange import blocks, dealt, keep_ids, parts, read_blocks, small_ids, spread, stored
 from .words import BLANKS, mix, rolling, run_hash, slices, words
 
 K, PERCENT = 5, 80
 GROWTH = 1.6  # ratio of the largest to the smallest size whose larger set decides a band
 CHUNK = 48  # sets verified against one other set in a group
+BLOCK = 1024  # members of a bucket on each side of a sketch comparison
 _REC = np.dtype([("key", "<u8"), ("node", "<i8")])
 
 
@@ -64,6 +70,28 @@ def set_print(sets: np.ndarray) -> int:
     return int(h.view(np.int64)[0]) or 1
 
 
+def bit_sketch(sets: np.ndarray) -> bytes:
+    """Parities of the shingles by hash: the least power of two of bits, 64 or more, that is at least twice the set's size."""
+    bits = 1 << max(6, (2 * len(sets) - 1).bit_length())
+    at = (mix(sets ^ np.uint64(0x2545F4914F6CDD1D)) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(sketch: bytes, words_: int) -> np.ndarray:
+    """A sketch brought down to fewer 64-bit words."""
+    x = np.frombuffer(sketch, np.uint64)
+    while len(x) > words_:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
+def plausible(size_u, size_v, sketch_u: np.ndarray, sketch_v: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sizes and Hamming distances leave a link possible (arrays that broadcast)."""
+    both = size_u + size_v
+    near = np.bitwise_count(sketch_u ^ sketch_v).sum(axis=-1, dtype=np.int64) * (100 + percent) <= both * (100 - percent)
+    return near & (100 * np.minimum(size_u, size_v) >= percent * np.maximum(size_u, size_v))
+
+
 class Bands:
     """Size bands: sets that can link always meet in the band of the larger one."""
 
@@ -105,14 +133,14 @@ def keys_of(sets: np.ndarray, bands: Bands) -> np.ndarray:
     return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
 
-_FEATURES = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n_shingles", pa.int64())])
+_FEATURES = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n_shingles", pa.int64()), ("sketch", pa.binary())])
 
 
 def _features(k):
     def run(batches):
         for b in batches:
-            found = [(set_print(x), len(x)) for _, x in shingle_sets(b.column("text"), k)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], schema=_FEATURES)
+            found = [(set_print(x), len(x), bit_sketch(x) if len(x) else None) for _, x in shingle_sets(b.column("text"), k)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.binary())], schema=_FEATURES)
 
     return run
 
@@ -202,6 +230,65 @@ def verified(pairs: DataFrame, texts: DataFrame, reps: DataFrame, k: int, percen
     return chunks.groupBy("u", "salt").applyInArrow(_verify(k, percent), "u long, v long")
 
 
+def _near(percent):
+    def run(batches):
+        """Pairs whose sketches leave a link possible."""
+        for b in batches:
+            su, sv = b.column("sketch_u").to_pylist(), b.column("sketch_v").to_pylist()
+            n = [min(len(x), len(y)) // 8 for x, y in zip(su, sv, strict=True)]
+            size_u, size_v = b.column("size_u").to_numpy(), b.column("size_v").to_numpy()
+            keep = [bool(plausible(size_u[i], size_v[i], folded(su[i], n[i]), folded(sv[i], n[i]), percent)) for i in range(len(n))]
+            yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def near_pairs(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) of nodes that sizes and sketches do not rule out."""
+    a, b = (info.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "uv")
+    sized = pairs.join(a, "u").join(b, "v").where(f"100 * least(size_u, size_v) >= {percent} * greatest(size_u, size_v)")
+    return sized.mapInArrow(_near(percent), "u long, v long")
+
+
+def _apart(percent):
+    def run(batches):
+        """Of the bucket blocks of a partition: plausible pairs of different components."""
+        t = pa.Table.from_batches(list(batches))
+        if not t.num_rows:
+            return
+        col = {c: t.column(c).to_numpy() for c in ("bucket", "a", "b", "side", "node", "root", "size")}
+        order = np.lexsort((col["node"], col["side"], col["b"], col["a"], col["bucket"]))
+        col = {c: x[order] for c, x in col.items()}
+        sketch = t.column("sketch").combine_chunks().take(pa.array(order))
+        new = np.ones(len(order), bool)
+        new[1:] = np.any([col[c][1:] != col[c][:-1] for c in ("bucket", "a", "b")], axis=0)
+        cut = np.flatnonzero(new)
+        ends = np.append(cut[1:], len(order))
+        open_ = np.flatnonzero(np.minimum.reduceat(col["root"], cut) < np.maximum.reduceat(col["root"], cut))
+        out: list[np.ndarray] = []
+        for g in open_.tolist():
+            lo, hi = int(cut[g]), int(ends[g])
+            own = sketch.slice(lo, hi - lo).to_pylist()
+            n = min(len(x) for x in own) // 8
+            s = np.stack([folded(x, n) for x in own])
+            node, root, size, side = (col[c][lo:hi] for c in ("node", "root", "size", "side"))
+            same = col["a"][lo] == col["b"][lo]
+            left, right = np.flatnonzero(side == 0), np.flatnonzero(side == (0 if same else 1))
+            step = max(1, (1 << 19) // max(1, len(right) * n))
+            for x in range(0, len(left), step):
+                rows = left[x : x + step]
+                ok = plausible(size[rows][:, None], size[right][None, :], s[rows][:, None, :], s[right][None, :, :], percent)
+                ok &= root[rows][:, None] != root[right][None, :]
+                i, j = np.nonzero(ok)
+                u, v = node[rows[i]], node[right[j]]
+                out.append(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1))
+        if out:
+            pairs = np.unique(np.concatenate(out), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=_LINKS)
+
+    return run
+
+
 def join(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     """Components of the k-shingle Jaccard join of docs(doc_id, text, ...).
 
@@ -217,40 +304,33 @@ def join(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n = parts(spark)
-    rows = stored(texts.mapInArrow(_features(k), "doc_id long, node long, n_shingles long"), "features")
-    reps = rows.where("node <> 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("size"))
-    reps = stored(reps, "reps")
-    one = reps.select("node", "doc_id")
-    buckets = stored(dealt(texts.mapInArrow(_keys(k, percent, n), BLOCK), n).mapInArrow(_buckets, "bucket long, nodes array<long>"), "buckets")
+    rows = stored(texts.mapInArrow(_features(k), "doc_id long, node long, n_shingles long, sketch binary"), "features")
+    info = rows.where("node <> 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("size"), F.first("sketch").alias("sketch"))
+    info = stored(info, "nodes")
+    one = info.select("node", "doc_id")
+    buckets = stored(dealt(texts.mapInArrow(_keys(k, percent, n), BLOCK_SQL), n).mapInArrow(_buckets, "bucket long, nodes array<long>"), "buckets")
 
     stars = buckets.select(F.col("nodes")[0].alias("u"), F.explode(F.slice("nodes", F.lit(2), F.greatest(F.size("nodes") - 1, F.lit(1)))).alias("v")).distinct()
-    first = stored(verified(_sized(stars, reps, percent), texts, one, k, percent), "links")
+    first = stored(verified(near_pairs(stars, info, percent), texts, one, k, percent), "links")
     roots = components(first)
 
-    member = buckets.where(F.size("nodes") > 2).select("bucket", F.explode("nodes").alias("node"))
-    member = member.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-    apart = member.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-    open_ = member.join(apart, "bucket")
-    right = open_.select("bucket", F.col("node").alias("v"), F.col("root").alias("root_v"))
-    pairs = open_.withColumnRenamed("node", "u").join(right, "bucket").where("u < v and root <> root_v").select("u", "v").distinct()
-    pairs = _sized(pairs, reps, percent).join(stars, ["u", "v"], "left_anti")
-    second = verified(pairs, texts, one, k, percent)
-    roots = components(first.unionByName(second))
+    member = buckets.where(F.size("nodes") > 2).select("bucket", F.ceil(F.size("nodes") / BLOCK).cast("int").alias("blocks"), F.explode("nodes").alias("node"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, own).alias("a"), F.greatest(o, own).alias("b"), F.when(own <= o, 0).otherwise(1).alias("side")))
+    member = member.select("bucket", "node", F.explode(meets).alias("m")).select("bucket", "node", "m.a", "m.b", "m.side")
+    known = info.select("node", "size", "sketch").join(roots, "node", "left").select("node", "size", "sketch", F.coalesce("root", "node").alias("root"))
+    cells = member.join(known, "node").repartition(n, "bucket", "a", "b")
+    pairs = cells.mapInArrow(_apart(percent), "u long, v long").distinct().join(stars, ["u", "v"], "left_anti")
+    roots = components(first.unionByName(verified(pairs, texts, one, k, percent)))
 
     ids = roots.join(one, "node").groupBy("root").agg(F.min("doc_id").alias("low"))
     named = roots.join(ids, "root").select("node", "low")
     named = one.join(named, "node", "left").select("node", F.coalesce("low", "doc_id").alias("low"))
-    return rows.join(named, "node", "left").select("doc_id", "n_shingles", F.coalesce("low", "doc_id").alias("component_id"))
-
-
-def _sized(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose set sizes allow a link."""
-    a = reps.select(F.col("node").alias("u"), F.col("size").alias("size_u"))
-    b = reps.select(F.col("node").alias("v"), F.col("size").alias("size_v"))
-    return pairs.join(a, "u").join(b, "v").where(f"100 * least(size_u, size_v) >= {percent} * greatest(size_u, size_v)").select("u", "v")
+    return rows.select("doc_id", "node", "n_shingles").join(named, "node", "left").select("doc_id", "n_shingles", F.coalesce("low", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
-    """The documents that are the smallest doc_id of their component."""
+    """The documents that are the smallest doc_id of their component, and those without a doc_id."""
     kept = join(docs, k, percent).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi")
+    named = docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi")
+    return named.unionByName(docs.where("doc_id is null"))
