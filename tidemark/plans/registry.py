@@ -6,7 +6,7 @@ import importlib
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
-_MODULES = ("signals", "joins", "texts", "reports")
+_MODULES = ("signals", "joins", "texts", "reports", "narratives", "portfolio", "volatility")
 
 
 def query(sql: str | None = None):
