@@ -47,11 +47,20 @@ def tickers(c: Column) -> Column:
     return F.when(F.size(found) > 0, found)
 
 
+def plain_words(c: Column) -> Column:
+    """Lower-cased text in which letters beyond ASCII are underscores and other such characters blanks.
+
+    Word borders then fall where Unicode has them, and patterns can use the
+    much faster ASCII classes.
+    """
+    return F.regexp_replace(F.regexp_replace(F.lower(c), r"(?U)[\W&&[^\x00-\x7F]]", " "), r"[^\x00-\x7F]", "_")
+
+
 def category(c: Column) -> Column:
     """Struct(category, causal) of the first rule with a pattern in the text."""
-    low, out = F.lower(c), None
+    low, out = plain_words(c), None
     for name, causal, patterns in V.CATEGORY_RULES:
-        hit = low.rlike("(?Ud)" + "|".join(f"(?:{p})" for p in patterns))
+        hit = low.rlike("(?d)" + "|".join(f"(?:{p})" for p in patterns))
         value = F.struct(F.lit(name).alias("category"), F.lit(causal).alias("causal"))
         out = F.when(hit, value) if out is None else out.when(hit, value)
     return out.otherwise(F.struct(F.lit("uncategorized").alias("category"), F.lit(True).alias("causal")))
