@@ -27,7 +27,7 @@ from .components import components
 from .exchange import stored
 
 THRESHOLD = 0.93
-SAMPLE, CELL, PROBE, BLOCK_ROWS, ROUNDS = 4096, 512, 3, 1024, 6
+SAMPLE, CELL, PROBE, BLOCK_ROWS, ROUNDS, GROUP = 4096, 512, 3, 1024, 6, 4096
 MAX_CENTRES = 1024
 
 
@@ -77,24 +77,20 @@ def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["label", "dim", "centres"])
 
 
-def _cells(batches):
-    """The nearest cells of every class, nearest first."""
-    for b in batches:
-        units, centres, cells = b.column("unit").to_pylist(), b.column("centres").to_pylist(), []
-        cache: dict[bytes, np.ndarray] = {}
-        groups: dict[bytes, list[int]] = {}
-        for i, c in enumerate(centres):
-            groups.setdefault(c, []).append(i)
-        cells = [[0]] * len(units)
-        for c, rows in groups.items():
-            if c is None:
-                continue
-            dim = len(units[rows[0]]) // 8
-            centre = cache.setdefault(c, np.frombuffer(c).reshape(-1, dim))
-            near = np.argsort(-(np.stack([np.frombuffer(units[i]) for i in rows]) @ centre.T), axis=1, kind="stable")[:, :PROBE]
-            for i, row in zip(rows, near.tolist(), strict=True):
-                cells[i] = row
-        yield pa.RecordBatch.from_arrays([b.column("class"), b.column("label"), b.column("dim"), b.column("unit"), b.column("copies"), pa.array(cells, pa.list_(pa.int32()))], names=["class", "label", "dim", "unit", "copies", "cells"])
+_PLACED = pa.schema([("class", pa.int64()), ("label", pa.int64()), ("dim", pa.int32()), ("unit", pa.binary()), ("copies", pa.int64()), ("cells", pa.list_(pa.int32()))])
+
+
+def _cells(classes: pa.Table, centres: pa.Table) -> pa.Table:
+    """The nearest cells of every class of a group, nearest first."""
+    if not classes.num_rows:
+        return _PLACED.empty_table()
+    units, cells = classes.column("unit").to_pylist(), []
+    dim = len(units[0]) // 8
+    c = np.frombuffer(centres.column("centres")[0].as_py()).reshape(-1, dim) if centres.num_rows else np.zeros((1, dim))
+    for lo in range(0, len(units), 2048):
+        x = np.stack([np.frombuffer(u) for u in units[lo : lo + 2048]])
+        cells += np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :PROBE].tolist()
+    return pa.table([*(classes.column(f.name).cast(f.type) for f in list(_PLACED)[:-1]), pa.array(cells, pa.list_(pa.int32()))], schema=_PLACED)
 
 
 class _Forest:
@@ -175,8 +171,13 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     total = classes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("classes"))
     drawn = classes.join(total, ["label", "dim"]).where(F.pmod(F.xxhash64("class"), F.lit(1 << 20)) * F.col("classes") < F.lit(SAMPLE << 20))
     centres = drawn.select(F.col("label"), "unit", "classes").groupBy("label").applyInPandas(_fit, "label long, dim int, centres binary")
-    placed = classes.join(centres, ["label", "dim"], "left").select("class", "label", "dim", "unit", "copies", "centres")
-    placed = stored(placed.mapInArrow(_cells, "class long, label long, dim int, unit binary, copies long, cells array<int>"), "cells")
+    # A label's classes meet its centres in groups of about GROUP rows, so the centres travel once for each group.
+    salts = total.withColumn("salts", F.ceil(F.col("classes") / GROUP).cast("int")).select("label", "dim", "salts")
+    keys = ["label", "dim", "salt"]
+    rows = classes.join(salts, ["label", "dim"]).withColumn("salt", F.pmod(F.xxhash64("class", F.lit(3)), F.col("salts")).cast("int")).select(*keys, "class", "unit", "copies")
+    nets = centres.join(salts, ["label", "dim"]).select("label", "dim", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "centres")
+    placed = rows.groupBy(*keys).cogroup(nets.groupBy(*keys)).applyInArrow(_cells, "class long, label long, dim int, unit binary, copies long, cells array<int>")
+    placed = stored(placed, "cells")
 
     member = placed.select("class", "label", "dim", "copies", "unit", "cells", F.explode("cells").alias("cell"))
     cell = ["label", "dim", "cell"]
