@@ -6,7 +6,8 @@ softmax give the language. Embeddings and layer are trained together by
 stochastic gradient descent in numpy on a bounded sample, PER_LABEL texts of
 each language. On a fifth of the sample, held back, a temperature is fitted
 to the log-likelihood, which calibrates the score, and the rejection level is
-set so that at most REJECT of correctly labelled texts fall below it.
+set so that at most REJECT of correctly labelled texts fall below it, and
+below one half in any case.
 
 As both steps are linear, a trained model folds into one table with a row of
 logits for each bucket; prediction averages its rows over a text's subwords.
@@ -126,7 +127,8 @@ def train(sample: list[tuple[str, str, float]], seed: int = 5) -> Model:
     scale = min((float(2.0**k) for k in np.arange(-3, 6.01, 0.25)), key=loss)
     p = softmax(z * scale)
     sure = np.sort(p.max(axis=1)[p.argmax(axis=1) == right])
-    reject = min(0.5, float(sure[int(REJECT * len(sure))])) if len(sure) else 0.5
+    most = (1 / len(labels) + 0.5) / 2  # texts of two languages in equal parts stay
+    reject = min(most, float(sure[int(REJECT * len(sure))])) if len(sure) else most
     return Model(labels, (emb @ out).astype(np.float32), bias, scale, reject)
 
 
