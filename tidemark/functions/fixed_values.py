@@ -286,3 +286,15 @@ VERBS = {
     "REJECTS": ("escalation", 0.8, "reject refuse deny decline rebuff spurn fail condemn", ""),
     "MEETS": ("de-escalation", 0.5, "meet discuss negotiate talk confer consult", ""),
 }
+# Assets that a category's events are watched on; other categories take the default.
+DEFAULT_ASSETS = ("BTC", "ETH")
+ROUTES = {
+    "geopolitical": ("WTI", "GOLD"), "macro": ("BTC", "ETH", "WTI", "GOLD"), "regulatory": ("BTC", "ETH"), "exchange_event": ("BTC", "ETH"),
+    "whale_flow": ("BTC", "ETH"), "protocol": ("BTC", "ETH"),
+    "technical_analysis": (), "price_commentary": (), "opinion": (), "promotion": (), "uncategorized": (),
+}
+
+# Symbols of the rotation universe.
+UNIVERSE = tuple("""
+BTCUSDT ETHUSDT BNBUSDT SOLUSDT XRPUSDT ADAUSDT AVAXUSDT LINKUSDT DOTUSDT LTCUSDT ATOMUSDT
+""".split())
