@@ -6,7 +6,13 @@ import numpy as np
 
 
 class HashIndex:
-    """Numbers the distinct non-zero hashes put in, 0, 1, 2, ... by order of arrival."""
+    """Numbers the distinct non-zero hashes put in, 0, 1, 2, ... by order of arrival.
+
+    Places come from a product with an odd constant, as the hashes one task
+    holds may share their leading bits (they were dealt by them).
+    """
+
+    _SPREAD = np.uint64(0x9FB21C651E98DF25)
 
     def __init__(self, bits: int = 12):
         self._alloc(bits)
@@ -21,7 +27,7 @@ class HashIndex:
     def get(self, h: np.ndarray) -> np.ndarray:
         """Row number of each hash, -1 where it is absent."""
         out = np.full(len(h), -1, np.int32)
-        at = (h >> self.shift).astype(np.int64)
+        at = ((h * self._SPREAD) >> self.shift).astype(np.int64)
         key = self.keys[at]
         hit = key == h
         out[hit] = self.rows[at[hit]]
@@ -50,7 +56,7 @@ class HashIndex:
 
     def _put(self, h: np.ndarray, rows: np.ndarray) -> None:
         mask = len(self.keys) - 1
-        at = (h >> self.shift).astype(np.int64)
+        at = ((h * self._SPREAD) >> self.shift).astype(np.int64)
         left = np.arange(len(h))
         while len(left):
             free = left[self.keys[at[left]] == 0]
