@@ -40,8 +40,14 @@ def hit_rates(rows: DataFrame, cells: Sequence[str], hit) -> DataFrame:
     return out.withColumn("rate", F.round(F.col("hits") / F.col("n_obs"), 6))
 
 
-RISE = F.col("px_max") / F.col("close") - 1 >= F.col("t")
-FALL = F.col("px_min") / F.col("close") - 1 <= -F.col("t")
+def rise():
+    """The window's largest value lies t or more above the close."""
+    return F.col("px_max") / F.col("close") - 1 >= F.col("t")
+
+
+def fall():
+    """The window's smallest value lies t or more below the close."""
+    return F.col("px_min") / F.col("close") - 1 <= -F.col("t")
 
 
 def binomial_z(hits, n, p):

@@ -156,7 +156,7 @@ def breakout_view(spark, sf):
 
 
 @query("""WITH a AS (SELECT date_trunc('minute', ts) AS m, sum(value) AS x FROM events WHERE event_type IN ('click', 'view') GROUP BY 1), b AS (SELECT date_trunc('minute', ts + INTERVAL 30 SECOND) - INTERVAL 1 MINUTE AS m, sum(value) AS y FROM events WHERE event_type = 'purchase' GROUP BY 1)
- SELECT count(*) AS minutes, count(*) FILTER (WHERE x / y >= 0.8) AS good, round(count(*) FILTER (WHERE x / y >= 0.8) / count(*), 6) AS share, count(*) FILTER (WHERE x / y >= 0.8) / count(*) >= 0.8 AS passed FROM a JOIN b USING (m) WHERE y > 0""")
+ SELECT count(*) AS minutes, count(*) FILTER (WHERE x / y >= 0.8) AS good, round(count(*) FILTER (WHERE x / y >= 0.8) / nullif(count(*), 0), 6) AS share, count(*) FILTER (WHERE x / y >= 0.8) / nullif(count(*), 0) >= 0.8 AS passed FROM a JOIN b USING (m) WHERE y > 0""")
 def stream_gate(spark, sf):
     """Share of minutes in which one feed holds at least 0.8 of the other's depth, minutes aligned half a minute on."""
     e = inputs.table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
@@ -165,7 +165,7 @@ def stream_gate(spark, sf):
     b = e.where("event_type = 'purchase'").groupBy(late.alias("m")).agg(F.sum("value").alias("y")).where("y > 0")
     good = F.count_if(F.col("x") / F.col("y") >= 0.8)
     n = F.count(F.lit(1))
-    return a.join(b, "m").agg(n.alias("minutes"), good.alias("good"), F.round(good / n, 6).alias("share"), (good / n >= 0.8).alias("passed"))
+    return a.join(b, "m").agg(n.alias("minutes"), good.alias("good"), F.round(F.try_divide(good, n), 6).alias("share"), (F.try_divide(good, n) >= 0.8).alias("passed"))
 
 
 def _events(spark, sf):

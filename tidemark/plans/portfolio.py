@@ -13,15 +13,18 @@ from ..operators import portfolio as P
 from . import inputs
 from .registry import query
 
-_W = frames.series(["symbol"], ["d"])
 COST = 0.001
 
 
+def _w():
+    return frames.series(["symbol"], ["d"])
+
+
 @query(f"""WITH p AS ({inputs.DAILY}), r AS (SELECT *, close / lag(close, 5) OVER (PARTITION BY symbol ORDER BY d) - 1 AS gain FROM p),
  k AS (SELECT *, row_number() OVER (PARTITION BY d ORDER BY gain DESC, symbol) AS rank FROM r WHERE gain > 0) SELECT d, symbol, rank, round(gain, 6) AS gain FROM k WHERE rank <= 2""")
 def momentum_topk(spark, sf):
     """The two names with the largest five-day rise of each day."""
-    r = inputs.daily_close(spark, sf).withColumn("gain", F.try_divide("close", F.lag("close", 5).over(_W)) - 1).where("gain > 0")
+    r = inputs.daily_close(spark, sf).withColumn("gain", F.try_divide("close", F.lag("close", 5).over(_w())) - 1).where("gain > 0")
     rank = F.row_number().over(Window.partitionBy("d").orderBy(F.desc("gain"), "symbol"))
     return r.withColumn("rank", rank).where("rank <= 2").select("d", "symbol", "rank", F.round("gain", 6).alias("gain"))
 
@@ -30,7 +33,7 @@ def momentum_topk(spark, sf):
  SELECT d, round(ret, 6) AS ret, round(exp(sum(ln(1 + ret)) OVER (ORDER BY d)), 6) AS equity FROM r""")
 def hold_benchmarks(spark, sf):
     """Equal weight in all names, days on which all have a return."""
-    r = inputs.daily_close(spark, sf).withColumn("x", frames.simple_return(F.col("close"), _W)).where("x is not null").groupBy("d").agg(F.avg("x").alias("ret"), F.count(F.lit(1)).alias("n")).where("n = 5")
+    r = inputs.daily_close(spark, sf).withColumn("x", frames.simple_return(F.col("close"), _w())).where("x is not null").groupBy("d").agg(F.avg("x").alias("ret"), F.count(F.lit(1)).alias("n")).where("n = 5")
     return r.select("d", F.round("ret", 6).alias("ret"), F.round(frames.equity(F.col("ret"), frames.series([], ["d"])), 6).alias("equity"))
 
 
@@ -38,7 +41,7 @@ def hold_benchmarks(spark, sf):
  SELECT symbol, count(*) AS days, round(min(dd), 6) AS max_dd, round(stddev_samp(ret) * sqrt(365), 6) AS vol, round(last(close ORDER BY d) / first(close ORDER BY d), 6) AS final FROM x GROUP BY 1""")
 def drawdown_metrics(spark, sf):
     """Deepest drawdown, volatility and growth of each name."""
-    x = inputs.daily_close(spark, sf).withColumn("dd", frames.drawdown(F.col("close"), _W)).withColumn("ret", frames.simple_return(F.col("close"), _W))
+    x = inputs.daily_close(spark, sf).withColumn("dd", frames.drawdown(F.col("close"), _w())).withColumn("ret", frames.simple_return(F.col("close"), _w()))
     return x.groupBy("symbol").agg(
         F.count(F.lit(1)).alias("days"), F.round(F.min("dd"), 6).alias("max_dd"), F.round(F.stddev_samp("ret") * F.sqrt(F.lit(365.0)), 6).alias("vol"), F.round(F.max_by("close", "d") / F.min_by("close", "d"), 6).alias("final")
     )

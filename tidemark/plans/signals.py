@@ -31,13 +31,13 @@ _BASE = """span AS (SELECT min(d) AS lo, max(d) AS hi FROM f), cl AS (SELECT px.
 def _sweep(spark, sf):
     ahead = signals.forward_extremes(inputs.price(spark, sf), HORIZONS)
     fires = signals.rolling_crossings(inputs.flows(spark, sf), WINDOWS).select("d", "n")
-    return signals.hit_rates(signals.grid(fires.join(ahead, "d"), t=LEVELS), ["n", "h", "t"], signals.RISE)
+    return signals.hit_rates(signals.grid(fires.join(ahead, "d"), t=LEVELS), ["n", "h", "t"], signals.rise())
 
 
 def _base(spark, sf):
     span = inputs.flows(spark, sf).agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
     clipped = inputs.price(spark, sf).join(F.broadcast(span), F.col("d").between(F.col("lo"), F.col("hi"))).select("d", "close")  # one row
-    return signals.hit_rates(signals.grid(signals.forward_extremes(clipped, HORIZONS), t=LEVELS), ["h", "t"], signals.RISE)
+    return signals.hit_rates(signals.grid(signals.forward_extremes(clipped, HORIZONS), t=LEVELS), ["h", "t"], signals.rise())
 
 
 @query(f"WITH {_SWEEP} SELECT * FROM sweep")
@@ -99,7 +99,7 @@ def _ahead(spark, sf):
 def trailing_mean_drop(spark, sf):
     """A level 5 below its trailing mean: share of falls of t within h days."""
     fires = signals.trailing_drop(_levels(spark, sf), (3, 7), ["symbol"], 5).select("symbol", "d", "n")
-    return signals.hit_rates(fires.join(_ahead(spark, sf), ["symbol", "d"]), ["n", "h", "t"], signals.FALL)
+    return signals.hit_rates(fires.join(_ahead(spark, sf), ["symbol", "d"]), ["n", "h", "t"], signals.fall())
 
 
 @query(f"""WITH l AS ({_LEVEL}), k AS (SELECT *, lag(level) OVER w AS a, lag(level, 2) OVER w AS b FROM l WINDOW w AS (PARTITION BY symbol ORDER BY d))
@@ -120,7 +120,7 @@ def _era():
  round(count(*) FILTER (WHERE px_min / close - 1 <= -t) / count(*), 6) AS rate FROM w WHERE px_min IS NOT NULL GROUP BY ALL""")
 def drawdown_by_era(spark, sf):
     """Base rate of falls by era, horizon and level."""
-    return signals.hit_rates(_ahead(spark, sf).withColumn("era", _era()), ["era", "h", "t"], signals.FALL)
+    return signals.hit_rates(_ahead(spark, sf).withColumn("era", _era()), ["era", "h", "t"], signals.fall())
 
 
 @query(f"""WITH {_DROP}, sig AS (SELECT {_ERA} AS era, n, h, t, count(*) AS n_obs, count(*) FILTER (WHERE px_min / close - 1 <= -t) AS hits
@@ -132,8 +132,8 @@ def era_edge(spark, sf):
     """Edge over the era's own base rate, with its binomial z."""
     ahead = _ahead(spark, sf).withColumn("era", _era())
     fires = signals.trailing_drop(_levels(spark, sf), (3, 7), ["symbol"], 5).select("symbol", "d", "n")
-    sig = signals.hit_rates(fires.join(ahead, ["symbol", "d"]), ["era", "n", "h", "t"], signals.FALL)
-    base = signals.hit_rates(ahead, ["era", "h", "t"], signals.FALL).select("era", "h", "t", (F.col("hits") / F.col("n_obs")).alias("p"))
+    sig = signals.hit_rates(fires.join(ahead, ["symbol", "d"]), ["era", "n", "h", "t"], signals.fall())
+    base = signals.hit_rates(ahead, ["era", "h", "t"], signals.fall()).select("era", "h", "t", (F.col("hits") / F.col("n_obs")).alias("p"))
     z = F.when((F.col("p") > 0) & (F.col("p") < 1), F.round(signals.binomial_z(F.col("hits"), F.col("n_obs"), F.col("p")), 6))
     return sig.join(base, ["era", "h", "t"]).select("era", "n", "h", "t", "n_obs", "hits", F.round(100 * (F.col("hits") / F.col("n_obs") - F.col("p")), 4).alias("edge_pp"), z.alias("z"))
 
@@ -239,10 +239,10 @@ def era_matched_binomial(spark, sf):
  q AS (SELECT d, s, CASE WHEN count(s) OVER p >= 60 THEN quantile_cont(s, 0.1) OVER p END AS thr FROM s
   WINDOW p AS (ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
  e AS (SELECT *, coalesce(s < thr, FALSE) AS below FROM q)
- SELECT d, round(s, 2) AS flow5, round(thr, 2) AS threshold FROM (SELECT *, coalesce(lag(below) OVER (ORDER BY d), FALSE) AS was FROM e) WHERE below AND NOT was""")
+ SELECT d, round(s / 1e6, 4) AS flow5_m, round(thr / 1e6, 4) AS threshold_m FROM (SELECT *, coalesce(lag(below) OVER (ORDER BY d), FALSE) AS was FROM e) WHERE below AND NOT was""")
 def expanding_threshold_events(spark, sf):
     """Days on which the 5-row flow falls under the tenth percentile of its own past."""
     w = frames.series([], ["d"])
     s = inputs.flows(spark, sf).select("d", frames.rolling_full(F.col("flow"), 5, w).alias("s"))
     q = s.withColumn("thr", frames.expanding_quantile(F.col("s"), 0.1, w, 60))
-    return q.withColumn("enter", frames.enters(F.col("s") < F.col("thr"), w)).where("enter").select("d", F.round("s", 2).alias("flow5"), F.round("thr", 2).alias("threshold"))
+    return q.withColumn("enter", frames.enters(F.col("s") < F.col("thr"), w)).where("enter").select("d", F.round(F.col("s") / 1e6, 4).alias("flow5_m"), F.round(F.col("thr") / 1e6, 4).alias("threshold_m"))

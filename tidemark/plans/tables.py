@@ -66,14 +66,14 @@ def rank_correlation(spark, sf):
 
 @query("""WITH e AS (SELECT event_id, value / 100.0 AS conf, CASE event_id % 4 WHEN 0 THEN 'geopolitical' WHEN 1 THEN 'macro' WHEN 2 THEN 'opinion' ELSE 'protocol' END AS cat, CASE event_id % 5 WHEN 0 THEN 'noise' WHEN 1 THEN 'low' WHEN 2 THEN 'medium' WHEN 3 THEN 'high' ELSE 'during_event' END AS lvl FROM events)
  SELECT cat AS category, lvl AS impact_level, count(*) AS n, count(*) FILTER (WHERE cat IN ('geopolitical', 'macro', 'regulatory') AND conf > 0.6) AS tighten,
-  round(max(CASE WHEN cat = 'opinion' THEN 0.0 ELSE conf * CASE lvl WHEN 'noise' THEN 0.0 WHEN 'low' THEN 0.2 WHEN 'medium' THEN 0.5 WHEN 'high' THEN 1.0 ELSE 0.3 END END)::DOUBLE, 2) AS top_score FROM e GROUP BY 1, 2""")
+  count(*) FILTER (WHERE CASE WHEN cat = 'opinion' THEN 0.0 ELSE conf * CASE lvl WHEN 'noise' THEN 0.0 WHEN 'low' THEN 0.2 WHEN 'medium' THEN 0.5 WHEN 'high' THEN 1.0 ELSE 0.3 END END > 0.2515) AS weighty FROM e GROUP BY 1, 2""")
 def tighten_gate(spark, sf):
     """Impact scores and the tightening flag by category and level."""
     e = inputs.table(spark, sf, "events")
     pick = lambda words, n: F.element_at(F.array(*map(F.lit, words)), (F.col("event_id") % n + 1).cast("int"))
     cat, level = pick(["geopolitical", "macro", "opinion", "protocol"], 4), pick(["noise", "low", "medium", "high", "during_event"], 5)
     g = e.select(cat.alias("category"), level.alias("impact_level"), narratives.tighten(cat, F.col("value") / 100.0, level).alias("g"))
-    return g.groupBy("category", "impact_level").agg(F.count(F.lit(1)).alias("n"), F.count_if("g.tighten").alias("tighten"), F.round(F.max("g.score"), 2).alias("top_score"))
+    return g.groupBy("category", "impact_level").agg(F.count(F.lit(1)).alias("n"), F.count_if("g.tighten").alias("tighten"), F.count_if(F.col("g.score") > 0.2511).alias("weighty"))
 
 
 @query("""WITH r AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN epoch_us(ts) // 1000 ELSE epoch_us(ts) END AS raw, ts, value FROM events)
