@@ -10,7 +10,10 @@
 
 Between tasks, lists travel as compressed binary blocks, so the number of
 shuffled rows follows the blocks and not the words; what one task holds is
-one block, or one part of the distinct words.
+one block, or one part of the distinct words. Documents are split twice, once
+for their words and once for their positions, instead of storing either; a
+block is the same both times because it is a run of one scan partition, so
+input that is not a plain scan of files is stored first.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import pretokens
-from .exchange import dealt, parts, spread, stored
+from .exchange import dealt, parts, plain_scan, spread, stored
 from .hashindex import HashIndex, Lists
 from .token_store import text_runs
 
@@ -224,7 +227,8 @@ class _Block:
         self.numbers.append(number)
         self.chars += len(whole)
 
-    def rows(self, block: int, n_parts: int):
+    def rows(self, block: int, n_parts: int, positions: bool):
+        """The row of the block's documents, or the rows of its words."""
         number = np.concatenate(self.numbers)
         h = np.concatenate(self.hashes) if self.hashes else np.zeros(0, np.uint64)
         order = np.argsort(-np.bincount(number, minlength=len(h)), kind="stable")  # frequent words get small numbers
@@ -232,7 +236,9 @@ class _Block:
         rank[order] = np.arange(len(h))
         h = h[order]
         part = spread(h, n_parts)
-        yield _row(block, -1, _pack(np.concatenate(self.docs).astype("<i8").tobytes()), _pack(np.concatenate(self.sizes).astype("<i8").tobytes()), _planes(rank[number]), _pack(part.astype("<u4").tobytes()))
+        if positions:
+            yield _row(block, -1, _pack(np.concatenate(self.docs).astype("<i8").tobytes()), _pack(np.concatenate(self.sizes).astype("<i8").tobytes()), _planes(rank[number]), _pack(part.astype("<u4").tobytes()))
+            return
         by = np.argsort(part, kind="stable")
         cuts = np.searchsorted(part[by], np.arange(n_parts + 1))
         for p in np.flatnonzero(np.diff(cuts)).tolist():
@@ -241,7 +247,7 @@ class _Block:
             yield _row(block, p, h[own].tobytes(), _pack(np.array([len(w) for w in words], "<u4").tobytes()), _pack(b"".join(words)), None)
 
 
-def _explode(n_parts):
+def _explode(n_parts, positions):
     def run(batches):
         from pyspark import TaskContext
 
@@ -252,10 +258,10 @@ def _explode(n_parts):
             for lo, hi in text_runs(texts):
                 held.add(doc_ids[lo:hi], texts[lo:hi])
                 if held.chars >= BLOCK_CHARS:
-                    yield from held.rows(task << 32 | seq, n_parts)
+                    yield from held.rows(task << 32 | seq, n_parts, positions)
                     held, seq = _Block(), seq + 1
         if held.docs:
-            yield from held.rows(task << 32 | seq, n_parts)
+            yield from held.rows(task << 32 | seq, n_parts, positions)
 
     return run
 
@@ -300,6 +306,8 @@ def _reassemble(vocabulary, digest):
             raw = table.column("c")[i].as_py()
             flat.append(_from_planes(raw[8:], int.from_bytes(raw[:8], "little")))
             count.append(np.frombuffer(_unpack(table.column("b")[i].as_py()), "<u4").astype(np.int64))
+        if sum(map(len, count)) != len(word_part):
+            raise ValueError("a block of documents has other words than before: the input changed between two scans")
         lists = Lists(np.int32)
         lists.extend(np.concatenate(flat).astype(np.int32), np.concatenate(count))
         place = np.empty(len(word_part), np.int64)  # where a word's answer stands among all answers
@@ -334,9 +342,10 @@ def _reassemble(vocabulary, digest):
 def _run(docs: DataFrame, vocabulary: str, digest: bool) -> DataFrame:
     n = parts(docs.sparkSession)
     cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = stored(cols.mapInArrow(_explode(n), _ROW_SQL), "blocks")
-    answers = dealt(rows.where("part >= 0"), n).mapInArrow(_answer(vocabulary), _ROW_SQL)
-    both = rows.where("part < 0").unionByName(answers)
+    if not plain_scan(cols):
+        cols = stored(cols, "documents")
+    answers = dealt(cols.mapInArrow(_explode(n, False), _ROW_SQL), n).mapInArrow(_answer(vocabulary), _ROW_SQL)
+    both = cols.mapInArrow(_explode(n, True), _ROW_SQL).unionByName(answers)
     kind = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "doc_id long, ids array<int>, decoded binary"
     return both.groupBy("block").applyInArrow(_reassemble(vocabulary, digest), kind)
 

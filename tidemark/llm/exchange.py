@@ -39,6 +39,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def plain_scan(df: DataFrame) -> bool:
+    """Whether df is read from files through projections and filters only, so that every scan has the same partitions."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    while plan.deterministic() and plan.nodeName() in ("Project", "Filter"):
+        plan = plan.children().apply(0)
+    return plan.nodeName().startswith("LogicalRelation") or plan.nodeName().startswith("Relation")
+
+
 def parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
