@@ -250,9 +250,15 @@ def near_pairs(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
     return sized.mapInArrow(_near(percent), "u long, v long")
 
 
-def _apart(percent):
+_PAIR = np.dtype([("u", "<i8"), ("v", "<i8")])
+
+
+def _apart(percent, n_parts):
     def run(batches):
-        """Of the bucket blocks of a partition: plausible pairs of different components."""
+        """Of the bucket blocks of a partition: plausible pairs of different components, dealt by their own hash.
+
+        A pair meets in many buckets; as packed records its copies cost 16 bytes each.
+        """
         t = pa.Table.from_batches(list(batches))
         if not t.num_rows:
             return
@@ -284,11 +290,20 @@ def _apart(percent):
                 out.append(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1))
         if out:
             pairs = np.unique(np.concatenate(out), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=_LINKS)
+            rec = np.empty(len(pairs), _PAIR)
+            rec["u"], rec["v"] = pairs[:, 0], pairs[:, 1]
+            key = mix(pairs[:, 0].astype(np.uint64) ^ mix(pairs[:, 1].astype(np.uint64)))
+            yield blocks(spread(key, n_parts), n_parts, lambda rows: rec[rows].tobytes())
 
     return run
 
 
+def _distinct_pairs(batches):
+    r = np.unique(read_blocks(batches, _PAIR))
+    if len(r):
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(r["u"])), pa.array(np.ascontiguousarray(r["v"]))], schema=_LINKS)
+
+
 def join(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     """Components of the k-shingle Jaccard join of docs(doc_id, text, ...).
 
@@ -320,7 +335,7 @@ def join(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     member = member.select("bucket", "node", F.explode(meets).alias("m")).select("bucket", "node", "m.a", "m.b", "m.side")
     known = info.select("node", "size", "sketch").join(roots, "node", "left").select("node", "size", "sketch", F.coalesce("root", "node").alias("root"))
     cells = member.join(known, "node").repartition(n, "bucket", "a", "b")
-    pairs = cells.mapInArrow(_apart(percent), "u long, v long").distinct().join(stars, ["u", "v"], "left_anti")
+    pairs = dealt(cells.mapInArrow(_apart(percent, n), BLOCK_SQL), n).mapInArrow(_distinct_pairs, "u long, v long").join(stars, ["u", "v"], "left_anti")
     roots = components(first.unionByName(verified(pairs, texts, one, k, percent)))
 
     ids = roots.join(one, "node").groupBy("root").agg(F.min("doc_id").alias("low"))
