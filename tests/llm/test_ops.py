@@ -318,6 +318,22 @@ def test_license_scan(spark, rows):
     assert "mit" in got[10003].labels and "apache-2.0" in got[10004].labels
 
 
+def test_license_phrases_inside_templates(spark):
+    """Base phrases are found where a longer match holds them."""
+    t = [x for x, label in license_scan.TEMPLATES if label == "gpl"][0]
+    texts = ["under the GNU General Public License", t, "x " + t + " y general public license", "gnu general public license gnu general public license", "gnu general public"]
+    got = {r.doc_id: r for r in license_scan.scan(frame(spark, list(enumerate(texts)))).collect()}
+    n = len(t.split())
+    assert [(got[i].n_base, got[i].first_word, got[i].last_word, got[i].base_labels, got[i].labels) for i in range(5)] == [
+        (1, 3, 3, "gpl", "gpl"), (1, n - 3, n - 3, "gpl", "gpl"), (2, n - 2, n + 2, "gpl", "gpl"), (2, 1, 5, "gpl", "gpl"), (0, None, None, "", ""),
+    ]
+    assert [got[i].score for i in range(4)] == [1.0] * 4 and got[4].score < 1
+    nested = license_scan.Scanner((("b c", "x"), ("a b c", "y"), ("c", "z")), (("q a b c d", "t"),))
+    h = np.array([license_scan.word_hash(w.encode()) for w in "q a b c d a b c b c".split()], np.uint64)
+    places, _ = nested.scan(h, np.array([0, len(h)]))
+    assert sorted(places[0]) == [(0, 2), (0, 6), (0, 8), (1, 1), (1, 5), (2, 3), (2, 7), (2, 9)]
+
+
 def test_classifiers(spark):
     rng = random.Random(5)
     parts = {"en": "the ing tion and th wh er".split(), "de": "ung der sch ich ein über".split(), "fr": "eau oux ent lle que ré".split()}

@@ -109,8 +109,13 @@ class Scanner:
         self.hashes, self.number = hashes[order], order
         self.pairs = np.unique([a << 32 | b for s in self.seqs for a, b in zip(s, s[1:], strict=False)])
         self.singles = {s[0]: i for i, s in enumerate(self.seqs[: self.n_base]) if len(s) == 1}
-        # Base phrases that end at a state: (phrase, words).
-        self.phrases = [[(n, len(self.seqs[n])) for n, e in sorted(ends) if n < self.n_base and e == len(self.seqs[n])] for ends in self.auto.ends]
+        # Base phrases that end with a state's strings: (phrase, words). A state's own are as long as its longest
+        # string; shorter ones stand at its suffix links, so those of all links are taken along.
+        self.phrases: list[list[tuple[int, int]]] = [[] for _ in self.auto.size]
+        for s in sorted(range(1, len(self.auto.size)), key=lambda s: self.auto.size[s]):
+            k = self.auto.size[s]
+            own = [(n, k) for n, e in sorted(self.auto.ends[s]) if n < self.n_base and e == k == len(self.seqs[n])]
+            self.phrases[s] = own + self.phrases[self.auto.link[s]]
 
     def numbers(self, h: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
