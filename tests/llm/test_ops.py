@@ -173,6 +173,17 @@ def test_decontaminate(spark, rows):
     assert {r.doc_id: r.n_hit for r in blocks} == {d: x[1] for d, x in want.items() if dict(rows)[d]}
 
 
+def test_decontaminate_rows_of_several_blocks(spark):
+    """Rows that share a doc_id, or have none, stay rows of their own with any number of blocks."""
+    texts = ["p q r s t", "v w x y z", "p q v w x", "", None, "p q r s t"]
+    docs = frame(spark, [(i, t) for i in (None, 5) for t in texts])
+    bench = spark.createDataFrame([("a", "p q"), ("b", "v w x"), ("c", "t"), ("d", "none here")], "item_id string, text string")
+    one, many = ([tuple(map(str, r)) for r in decontaminate.scan(docs, bench, block_words=n).collect()] for n in (decontaminate.BLOCK_WORDS, 1))
+    hits = {"p q r s t": (5, 3), "v w x y z": (5, 3), "p q v w x": (5, 5), "": (0, 0), None: (0, 0)}
+    assert sorted(one) == sorted(many)
+    assert sorted(r[:3] for r in many) == sorted((str(i), *map(str, hits[t])) for i in (None, 5) for t in texts)
+
+
 def tik(name):
     import tiktoken
 

@@ -8,7 +8,8 @@ all locations where a whole window of the item stands.
 
 The test suffixes go to the tasks in blocks of at most BLOCK_WORDS words, so
 what is broadcast does not grow with the benchmark; with several blocks the
-documents are passed once for each and the results joined by doc_id.
+documents are stored with a key for each row, passed once for each block and
+the results joined by that key.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .exchange import stored
 from .words import ALNUM, Slice, rolling, slices, words
 
 WINDOW = 13
@@ -153,7 +155,6 @@ def _spans(hit: np.ndarray) -> list[list[int]]:
     return edge.reshape(-1, 2).tolist()
 
 
-_FOUND = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.string())])
 _FOUND_SQL = "doc_id long, n_words long, n_hit long, items array<string>, spans string"
 
 
@@ -161,6 +162,7 @@ def _scan(test):
     def run(batches):
         suffixes = test.value
         for b in batches:
+            keys = [c for c in b.schema.names if c != "text"]
             n_words, n_hit, items, spans = [], [], [], []
             for s in slices(b.column("text")):
                 w = words(s, ALNUM)
@@ -172,7 +174,8 @@ def _scan(test):
                     own[d].append(suffixes.ids[i])
                 items += own
                 spans += [json.dumps(_spans(hit[w.bounds[i] : w.bounds[i + 1]])) if hits[i] else "[]" for i in range(s.hi - s.lo)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.string())], schema=_FOUND)
+            found = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.string())]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keys), *found], names=[*keys, "n_words", "n_hit", "items", "spans"])
 
     return run
 
@@ -211,27 +214,24 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_word
     (JSON list of hit word ranges). A window is `window` consecutive words of
     an item, or the whole item if it has fewer. Null or empty texts have no
     words and are not hit; items that are null or without words hit nothing.
-    Rows with the same doc_id are rows of their own, except that with more
-    than one block of items their counts are joined under a row number of
-    the (doc_id, text) pair. Other columns are ignored. Empty tables give an
-    empty result, or no hits.
+    Rows with the same doc_id or none are rows of their own, whatever the
+    number of blocks. Other columns are ignored. Empty tables give an empty
+    result, or no hits.
     """
     spark = docs.sparkSession
     cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = []
-    for block in _item_blocks(benchmark, block_words):
-        test = spark.sparkContext.broadcast(TestSuffixes(block, window))
-        found.append(cols.mapInArrow(_scan(test), _FOUND_SQL))
-    if not found:
-        test = spark.sparkContext.broadcast(TestSuffixes([], window))
-        found.append(cols.mapInArrow(_scan(test), _FOUND_SQL))
-    if len(found) == 1:
-        return found[0].withColumn("items", F.array_sort(F.array_distinct("items")))
+    tests = [spark.sparkContext.broadcast(TestSuffixes(block, window)) for block in _item_blocks(benchmark, block_words)]
+    if not tests:
+        tests = [spark.sparkContext.broadcast(TestSuffixes([], window))]
+    if len(tests) == 1:
+        return cols.mapInArrow(_scan(tests[0]), _FOUND_SQL).withColumn("items", F.array_sort(F.array_distinct("items")))
+    keyed = stored(cols.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "keyed")
+    found = [keyed.mapInArrow(_scan(test), f"row long, {_FOUND_SQL}") for test in tests]
     rows = found[0]
     for f in found[1:]:
         rows = rows.unionByName(f)
     union = F.udf(lambda s: json.dumps(_union(s)), "string")
-    each = rows.groupBy("doc_id", "n_words").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), union(F.collect_list("spans")).alias("spans"))
+    each = rows.groupBy("row", "doc_id", "n_words").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), union(F.collect_list("spans")).alias("spans"))
     hits = F.aggregate(F.from_json("spans", "array<array<long>>"), F.lit(0).cast("long"), lambda a, x: a + x[1] - x[0])
     return each.select("doc_id", "n_words", hits.alias("n_hit"), "items", "spans")
 
