@@ -238,6 +238,26 @@ def test_token_store(spark, rows):
     assert got == want
 
 
+def test_token_store_reads_added_tokens(spark, rows, tmp_path):
+    """The query's ids are the library's by default, where special tokens in a text give their own id."""
+    from tokenizers import Tokenizer
+
+    from tidemark.llm import queries
+
+    t, end = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), "<|endoftext|>"
+    assert t.encode(f"a {end} b", add_special_tokens=False).ids == [64, 220, 50256, 275]
+    texts = [f"a {end} b", end, end * 3, f"{end}\n\n x  {end}  ", f"don{end}'t {end[:-1]} <{end}>", None, "", f"  {end}é 12"]
+    data = [*rows, *((10000 + i, x) for i, x in enumerate(texts))]
+    frame(spark, data).select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, queries.op8_token_store(spark, str(tmp_path)).collect()))
+    start, want = 0, []
+    for i, text in sorted(data, key=lambda r: r[0]):
+        ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
+        want.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    assert got == want
+
+
 def test_wavelet_matrix():
     rng = np.random.default_rng(0)
     for ids in (np.zeros(0, np.int64), np.zeros(3, np.int64), rng.integers(0, 50257, 3000), np.repeat([5, 70000], 700)):

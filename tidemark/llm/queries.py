@@ -53,10 +53,10 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32, read back from wavelet-matrix shards."""
+    """doc_id, start, n_tokens, ids_crc32, read back from wavelet-matrix shards; added tokens in a text give their own ids."""
     import public_tokenizers
 
-    return token_store.round_trip(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+    return token_store.round_trip(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), encode_special_tokens=False)
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

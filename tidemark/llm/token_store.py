@@ -14,6 +14,7 @@ from __future__ import annotations
 import functools
 import json
 import os
+import re
 import uuid
 import zlib
 
@@ -190,10 +191,17 @@ def _byte_letters() -> list[str]:
 class WordEncoder:
     """Ids of whole texts: each distinct pre-token is encoded once by the tokenizers library."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, encode_special_tokens: bool = True):
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path).model
+        whole = Tokenizer.from_file(path)
+        self.model = whole.model
+        added = {i: t for i, t in whole.get_added_tokens_decoder().items() if not (t.special and encode_special_tokens)}
+        if any(t.single_word or t.lstrip or t.rstrip or t.normalized and whole.normalizer for t in added.values()):
+            raise ValueError("added tokens with rules of their own are not supported")
+        self.added = {t.content: i for i, t in added.items()}
+        # The longest of those that start at a place, as the library takes them.
+        self.find = re.compile("|".join(re.escape(c) for c in sorted(self.added, key=len, reverse=True))).finditer if added else None
         self.letters = dict(enumerate(_byte_letters()))
         self._clear()
 
@@ -201,7 +209,30 @@ class WordEncoder:
         self.index, self.lists = HashIndex(16), Lists(np.int32)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts one after another, and the end of each text's."""
+        """The ids of all texts one after another, and the end of each text's.
+
+        Texts are split at added tokens, which give their own id, before anything else.
+        """
+        if self.find is None:
+            return self._encode(texts)
+        pieces, marks, last = [], [], []  # a piece, the id of the added token after it or -1, each text's last piece
+        for t in texts:
+            at = 0
+            for m in self.find(t):
+                pieces.append(t[at : m.start()])
+                marks.append(self.added[m[0]])
+                at = m.end()
+            last.append(len(pieces))
+            pieces.append(t[at:])
+            marks.append(-1)
+        ids, ends = self._encode(pieces)
+        if len(pieces) == len(texts):
+            return ids, ends
+        mark = np.array(marks, np.int32)
+        own = mark >= 0
+        return np.insert(ids, ends[own], mark[own]), (ends + np.cumsum(own))[last]
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if self.index.n > KNOWN_WORDS:
             self._clear()
         points, offs, whole = pretokens.code_points(texts)
@@ -221,13 +252,14 @@ class WordEncoder:
         return ids, np.r_[0, ends][bounds[1:]] if len(ends) else np.zeros(len(texts), np.int64)
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+_ENCODERS: dict[tuple[str, bool], WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, encode_special_tokens: bool = True) -> WordEncoder:
+    key = path, encode_special_tokens
+    if key not in _ENCODERS:
+        _ENCODERS[key] = WordEncoder(*key)
+    return _ENCODERS[key]
 
 
 def text_runs(texts: list[str], limit: int = CHARS):
@@ -245,7 +277,7 @@ def text_runs(texts: list[str], limit: int = CHARS):
 _SHARD = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("path", pa.string()), ("n_ids", pa.int64())])
 
 
-def _write(folder, vocabulary, end_id, shard_ids):
+def _write(folder, vocabulary, end_id, shard_ids, encode_special_tokens):
     def run(batches):
         from pyspark import TaskContext
 
@@ -258,7 +290,7 @@ def _write(folder, vocabulary, end_id, shard_ids):
             path = put_file(folder, f"shard-{part:06d}-{seq:06d}", data)
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([path]), pa.array([len(ids)], pa.int64())], schema=_SHARD)
 
-        enc = encoder(vocabulary)
+        enc = encoder(vocabulary, encode_special_tokens)
         for b in batches:
             doc_ids = b.column("doc_id").fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
             texts = [t or "" for t in b.column("text").to_pylist()]
@@ -279,18 +311,20 @@ def _write(folder, vocabulary, end_id, shard_ids):
     return run
 
 
-def write_shards(docs: DataFrame, folder: str, vocabulary: str, end_id: int = END_ID, shard_ids: int = SHARD_IDS) -> DataFrame:
+def write_shards(docs: DataFrame, folder: str, vocabulary: str, end_id: int = END_ID, shard_ids: int = SHARD_IDS, encode_special_tokens: bool = True) -> DataFrame:
     """Encodes docs(doc_id, text) into shard files under folder; returns their stored manifest.
 
     Documents are in ascending doc_id order over (part, seq) and within a
     shard, null doc_ids first; those with the same doc_id lie side by side,
     ordered by text hash. Null texts are empty and hold only the end id. An
-    empty table writes no file.
+    empty table writes no file. encode_special_tokens is the library's own
+    setting: whether special tokens that stand in a text are encoded as any
+    other characters (the library's default is False).
     """
     spark = docs.sparkSession
     cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = cols.repartitionByRange(parts(spark), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    made = rows.mapInArrow(_write(folder, vocabulary, end_id, shard_ids), "part int, seq int, path string, n_ids long")
+    made = rows.mapInArrow(_write(folder, vocabulary, end_id, shard_ids, encode_special_tokens), "part int, seq int, path string, n_ids long")
     return stored(made, "manifest")
 
 
@@ -322,7 +356,7 @@ def read_digests(manifest: DataFrame) -> DataFrame:
     return with_starts(manifest).repartition(parts(spark)).mapInArrow(_digests, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """Writes docs into shards in the shared folder and returns what reading them back gives."""
+def round_trip(docs: DataFrame, vocabulary: str, encode_special_tokens: bool = True) -> DataFrame:
+    """Writes docs into shards in the shared folder and returns what reading them back gives; options as in `write_shards`."""
     spark: SparkSession = docs.sparkSession
-    return read_digests(write_shards(docs, new_path(spark, "tokens"), vocabulary))
+    return read_digests(write_shards(docs, new_path(spark, "tokens"), vocabulary, encode_special_tokens=encode_special_tokens))
