@@ -184,6 +184,13 @@ def test_decontaminate_rows_of_several_blocks(spark):
     assert sorted(r[:3] for r in many) == sorted((str(i), *map(str, hits[t])) for i in (None, 5) for t in texts)
 
 
+def test_decontaminate_items_without_id(spark):
+    docs = frame(spark, [(1, "p q r s t"), (2, "v w x")])
+    bench = spark.createDataFrame([(None, "q r"), ("b", "s t")], "item_id string, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items, r.contaminated) for r in decontaminate.report(docs, bench).collect()}
+    assert got == {1: (4, 1, True), 2: (0, 0, False)}
+
+
 def tik(name):
     import tiktoken
 

@@ -33,7 +33,7 @@ _HEAD = 4  # words by which suffixes are chosen for the array
 class TestSuffixes:
     """All suffixes of a block of items, as word hashes."""
 
-    def __init__(self, items: list[tuple[str, bytes]], window: int):
+    def __init__(self, items: list[tuple[str | None, bytes]], window: int):
         self.ids, self.window = [i for i, _ in items], window
         data = np.frombuffer(b"".join(t for _, t in items), np.uint8)
         offs = np.r_[0, np.cumsum([len(t) for _, t in items])].astype(np.int64)
@@ -171,7 +171,8 @@ def _scan(test):
                 n_hit += hits.tolist()
                 own: list[list[str]] = [[] for _ in range(s.hi - s.lo)]
                 for d, i in zip(doc.tolist(), item.tolist(), strict=True):
-                    own[d].append(suffixes.ids[i])
+                    if suffixes.ids[i] is not None:
+                        own[d].append(suffixes.ids[i])
                 items += own
                 spans += [json.dumps(_spans(hit[w.bounds[i] : w.bounds[i + 1]])) if hits[i] else "[]" for i in range(s.hi - s.lo)]
             found = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.string())]
@@ -183,7 +184,7 @@ def _scan(test):
 def _item_blocks(benchmark: DataFrame, block_words: int):
     """The items in blocks of bounded size, one block on the driver at a time."""
     block, size = [], 0
-    rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("string").alias("t"))
+    rows = benchmark.where("text is not null").select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("string").alias("t"))
     for r in rows.toLocalIterator():
         block.append((r["i"], r["t"].encode()))
         size += len(r["t"]) // 2 + 1
@@ -213,7 +214,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_word
     any occurrence of a window), items (sorted distinct item ids) and spans
     (JSON list of hit word ranges). A window is `window` consecutive words of
     an item, or the whole item if it has fewer. Null or empty texts have no
-    words and are not hit; items that are null or without words hit nothing.
+    words and are not hit; items whose text is null or without words hit nothing, and
+    those without an id hit as any other but are not among items.
     Rows with the same doc_id or none are rows of their own, whatever the
     number of blocks. Other columns are ignored. Empty tables give an empty
     result, or no hits.
