@@ -191,6 +191,16 @@ def test_decontaminate_items_without_id(spark):
     assert got == {1: (4, 1, True), 2: (0, 0, False)}
 
 
+def test_decontaminate_longest_matches(spark):
+    """Matches reach beyond the window and carry their places, with any number of blocks."""
+    item = [f"w{i}" for i in range(40)]
+    texts = [" ".join(["x", *item[5:30], "y", *item[:13], "z"]), " ".join(item[28:]), "one and one"]
+    bench = spark.createDataFrame([("a", " ".join(item)), ("b", "one"), (None, " ".join(item[6:20]))], "item_id string, text string")
+    for n in (decontaminate.BLOCK_WORDS, 1):
+        got = {r.doc_id: sorted(map(tuple, r.matches), key=str) for r in decontaminate.scan(frame(spark, list(enumerate(texts))), bench, block_words=n).collect()}
+        assert got == {0: sorted([(1, 25, "a", 5), (27, 13, "a", 0), (2, 14, None, 0)], key=str), 1: [], 2: [(0, 1, "b", 0), (2, 1, "b", 0)]}
+
+
 def tik(name):
     import tiktoken
 

@@ -2,9 +2,11 @@
 
 Each slice of documents is a shard. Its suffix array holds the suffixes that
 begin with the first words of some test suffix, sorted word by word as far as
-a test suffix can reach; every suffix of every benchmark item is searched in
-it by bisection, word by word, which yields its longest verbatim match and
-all locations where a whole window of the item stands.
+a window can reach; every suffix of a benchmark item that holds a whole window
+is searched in it by bisection, word by word, as far as the window, which
+yields all locations where the window stands. Windows that follow one another
+in both item and document are joined to the longest verbatim matches. Matches
+shorter than a window are not searched for.
 
 The test suffixes go to the tasks in blocks of at most BLOCK_WORDS words, so
 what is broadcast does not grow with the benchmark; with several blocks the
@@ -124,13 +126,14 @@ def suffix_array(test: TestSuffixes, h: np.ndarray, bounds: np.ndarray) -> tuple
 def matches(test: TestSuffixes, h: np.ndarray, bounds: np.ndarray):
     """For every document of a slice: hit words, and the items with windows there.
 
-    Returns the number of hit words by document and (document, item) pairs.
+    Returns the number of hit words by document, whether each word is hit,
+    (document, item) pairs, and the windows found with their places.
     """
     n_docs = len(bounds) - 1
     cover = np.zeros(len(h) + 1, np.int64)
     none = np.zeros(0, np.int64)
     if not len(h) or not len(test.start):
-        return np.zeros(n_docs, np.int64), cover[:-1] > 0, none, none
+        return np.zeros(n_docs, np.int64), cover[:-1] > 0, none, none, none, none
     place, array = suffix_array(test, h, bounds)
     lo, hi, longest = search(test.rows, test.size, array)
     full = longest == test.size
@@ -140,9 +143,22 @@ def matches(test: TestSuffixes, h: np.ndarray, bounds: np.ndarray):
     np.add.at(cover, at + np.repeat(test.size[full], count), -1)
     hit = np.cumsum(cover)[:-1] > 0
     doc = np.searchsorted(bounds, at, "right") - 1
-    pairs = np.unique(np.stack([doc, np.repeat(test.item[full], count)]), axis=1) if len(at) else np.zeros((2, 0), np.int64)
+    window = np.repeat(np.flatnonzero(full), count)
+    pairs = np.unique(np.stack([doc, test.item[window]]), axis=1) if len(at) else np.zeros((2, 0), np.int64)
     total = np.r_[0, np.cumsum(hit)]
-    return total[bounds[1:]] - total[bounds[:-1]], hit, pairs[0], pairs[1]
+    return total[bounds[1:]] - total[bounds[:-1]], hit, pairs[0], pairs[1], window, at
+
+
+def longest_matches(test: TestSuffixes, window: np.ndarray, at: np.ndarray, bounds: np.ndarray):
+    """Windows and their places joined to longest matches: document, word there, words, item, word there."""
+    start, item, doc = test.start[window], test.item[window], np.searchsorted(bounds, at, "right") - 1
+    order = np.lexsort((at, at - start, item, doc))
+    window, at, start, item, doc = (x[order] for x in (window, at, start, item, doc))
+    new = np.ones(len(at), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (at[1:] != at[:-1] + 1) | (start[1:] != start[:-1] + 1)
+    cut = np.flatnonzero(new)
+    size = test.size[window[cut]] + np.diff(cut, append=len(at)) - 1
+    return doc[cut], at[cut] - bounds[doc[cut]], size, item[cut], start[cut] - test.bounds[item[cut]]
 
 
 def verdict(n_words: int, n_hit: int) -> bool:
@@ -155,18 +171,20 @@ def _spans(hit: np.ndarray) -> list[list[int]]:
     return edge.reshape(-1, 2).tolist()
 
 
-_FOUND_SQL = "doc_id long, n_words long, n_hit long, items array<string>, spans string"
+_MATCH = pa.struct([("word", pa.int64()), ("n_words", pa.int64()), ("item", pa.string()), ("item_word", pa.int64())])
+_MATCH_SQL = "array<struct<word: long, n_words: long, item: string, item_word: long>>"
+_FOUND_SQL = f"doc_id long, n_words long, n_hit long, items array<string>, spans string, matches {_MATCH_SQL}"
 
 
-def _scan(test):
+def _scan(test, with_matches):
     def run(batches):
         suffixes = test.value
         for b in batches:
             keys = [c for c in b.schema.names if c != "text"]
-            n_words, n_hit, items, spans = [], [], [], []
+            n_words, n_hit, items, spans, longest = [], [], [], [], []
             for s in slices(b.column("text")):
                 w = words(s, ALNUM)
-                hits, hit, doc, item = matches(suffixes, w.hashes, w.bounds)
+                hits, hit, doc, item, window, at = matches(suffixes, w.hashes, w.bounds)
                 n_words += np.diff(w.bounds).tolist()
                 n_hit += hits.tolist()
                 own: list[list[str]] = [[] for _ in range(s.hi - s.lo)]
@@ -174,9 +192,14 @@ def _scan(test):
                     if suffixes.ids[i] is not None:
                         own[d].append(suffixes.ids[i])
                 items += own
+                held: list[list] = [[] for _ in range(s.hi - s.lo)]
+                if with_matches and len(at):
+                    for d, x, n, i, y in zip(*(c.tolist() for c in longest_matches(suffixes, window, at, w.bounds)), strict=True):
+                        held[d].append({"word": x, "n_words": n, "item": suffixes.ids[i], "item_word": y})
+                longest += held
                 spans += [json.dumps(_spans(hit[w.bounds[i] : w.bounds[i + 1]])) if hits[i] else "[]" for i in range(s.hi - s.lo)]
-            found = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.string())]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keys), *found], names=[*keys, "n_words", "n_hit", "items", "spans"])
+            found = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.string()), pa.array(longest, pa.list_(_MATCH))]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keys), *found], names=[*keys, "n_words", "n_hit", "items", "spans", "matches"])
 
     return run
 
@@ -207,12 +230,14 @@ def _union(sets: list[str]) -> list[list[int]]:
     return out
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, with_matches: bool = True) -> DataFrame:
     """Where benchmark windows stand in docs(doc_id, text).
 
     Returns one row for each document: doc_id, n_words, n_hit (words inside
-    any occurrence of a window), items (sorted distinct item ids) and spans
-    (JSON list of hit word ranges). A window is `window` consecutive words of
+    any occurrence of a window), items (sorted distinct item ids), spans (JSON
+    list of hit word ranges) and matches (sorted; the longest verbatim matches
+    of a window or more: first word and words in the document, item id and
+    first word in the item; left empty without with_matches). A window is `window` consecutive words of
     an item, or the whole item if it has fewer. Null or empty texts have no
     words and are not hit; items whose text is null or without words hit nothing, and
     those without an id hit as any other but are not among items.
@@ -226,21 +251,21 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_word
     if not tests:
         tests = [spark.sparkContext.broadcast(TestSuffixes([], window))]
     if len(tests) == 1:
-        return cols.mapInArrow(_scan(tests[0]), _FOUND_SQL).withColumn("items", F.array_sort(F.array_distinct("items")))
+        return cols.mapInArrow(_scan(tests[0], with_matches), _FOUND_SQL).withColumn("items", F.array_sort(F.array_distinct("items"))).withColumn("matches", F.array_sort("matches"))
     keyed = stored(cols.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "keyed")
-    found = [keyed.mapInArrow(_scan(test), f"row long, {_FOUND_SQL}") for test in tests]
+    found = [keyed.mapInArrow(_scan(test, with_matches), f"row long, {_FOUND_SQL}") for test in tests]
     rows = found[0]
     for f in found[1:]:
         rows = rows.unionByName(f)
     union = F.udf(lambda s: json.dumps(_union(s)), "string")
-    each = rows.groupBy("row", "doc_id", "n_words").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), union(F.collect_list("spans")).alias("spans"))
+    each = rows.groupBy("row", "doc_id", "n_words").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), union(F.collect_list("spans")).alias("spans"), F.array_sort(F.flatten(F.collect_list("matches"))).alias("matches"))
     hits = F.aggregate(F.from_json("spans", "array<array<long>>"), F.lit(0).cast("long"), lambda a, x: a + x[1] - x[0])
-    return each.select("doc_id", "n_words", hits.alias("n_hit"), "items", "spans")
+    return each.select("doc_id", "n_words", hits.alias("n_hit"), "items", "spans", "matches")
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every document; rows as in `scan`."""
-    return scan(docs, benchmark).select(
+    return scan(docs, benchmark, with_matches=False).select(
         "doc_id",
         "n_words",
         "n_hit",
