@@ -134,6 +134,15 @@ def test_suffix_dedup(spark, rows):
             assert left[i] == t if i not in want else left[i].encode().lower().split() == rest
 
 
+def test_suffix_dedup_of_texts_that_share_an_id(spark):
+    """Each row loses what its own text repeats, not what another text of the same doc_id does."""
+    passage, other = (" ".join(f"{c}{i}" for i in range(60)) for c in "pq")
+    plain, short = " ".join(f"r{i}" for i in range(90)), "only a few words"
+    rows = [(1, passage), (1, other), (5, f"a b {passage} c"), (5, plain), (5, short), (5, f"{other} d"), (5, f"{other} d"), (5, None)]
+    left = sorted((r.doc_id, str(r.text)) for r in suffix_dedup.dedup(frame(spark, rows)).collect())
+    assert [(i, " ".join(t.split())) for i, t in left] == sorted([(1, passage), (1, other), (5, "a b c"), (5, plain), (5, short), (5, "d"), (5, "d"), (5, "None")])
+
+
 def test_anchors_piece_by_piece(monkeypatch):
     rng = np.random.default_rng(0)
     h, bounds = rng.integers(0, 1 << 63, 5000, dtype=np.uint64), np.array([0, 1200, 1230, 5000])

@@ -36,6 +36,9 @@ _PLACE = np.uint64((1 << 24) - 1)
 _SUFFIX = np.dtype([("key", "<u8"), ("doc", "<i8")])
 _WINDOW = np.dtype([("key", "<u8"), ("doc", "<i8"), ("pos", "<i4")])
 _REPEAT = np.dtype([("doc", "<i8"), ("pos", "<i4"), ("first", "<i8"), ("at", "<i4")])
+#: The same with the hash of the text that holds the window.
+_WINDOW_OF = np.dtype([*_WINDOW.descr, ("text", "<i8")])
+_REPEAT_OF = np.dtype([*_REPEAT.descr, ("text", "<i8")])
 
 
 def run_prints(h: np.ndarray, k: int) -> np.ndarray:
@@ -137,11 +140,12 @@ def _shared(batches):
         yield pa.RecordBatch.from_arrays([pa.array(r["doc"][a]), pa.array([r["key"][x:y].tobytes() for x, y in zip(a.tolist(), e.tolist(), strict=True)], pa.binary())], names=["need_id", "keys"])
 
 
-def _windows(size, k, n_parts):
+def _windows(size, k, n_parts, by_text):
     def run(batches):
         for b in batches:
             ids = b.column("doc_id").to_numpy(zero_copy_only=False)
             wanted = b.column("keys").to_pylist()
+            text = b.column("text_hash").to_numpy(zero_copy_only=False) if by_text else None
             held, total = [], 0
             for s in slices(b.column("text")):
                 w = words(s, BLANKS)
@@ -153,8 +157,10 @@ def _windows(size, k, n_parts):
                     own = slice(cut[i], cut[i + 1])
                     keep[own] = np.isin(prints[place[own]], np.frombuffer(b"".join(wanted[s.lo + i]), np.uint64))
                 start, doc = start[keep], doc[keep]
-                rec = np.empty(len(start), _WINDOW)
+                rec = np.empty(len(start), _WINDOW_OF if by_text else _WINDOW)
                 rec["key"], rec["doc"], rec["pos"] = run_prints(w.hashes, size)[start], ids[s.lo + doc], start - w.bounds[doc]
+                if by_text:
+                    rec["text"] = text[s.lo + doc]
                 held.append(rec)
                 total += len(rec)
                 if total > 1 << 19:
@@ -166,10 +172,10 @@ def _windows(size, k, n_parts):
     return run
 
 
-def _repeats(n_parts):
+def _repeats(n_parts, by_text):
     def run(batches):
         """Sorted windows: those that follow an equal one of an earlier document."""
-        r = read_blocks(batches, _WINDOW)
+        r = read_blocks(batches, _WINDOW_OF if by_text else _WINDOW)
         if not len(r):
             return
         r = r[np.lexsort((r["pos"], r["doc"], r["key"]))]
@@ -178,8 +184,10 @@ def _repeats(n_parts):
         late = np.flatnonzero(r["doc"] > r["doc"][lead])
         for lo in range(0, len(late), 1 << 19):
             own = late[lo : lo + (1 << 19)]
-            out = np.empty(len(own), _REPEAT)
+            out = np.empty(len(own), _REPEAT_OF if by_text else _REPEAT)
             out["doc"], out["pos"], out["first"], out["at"] = r["doc"][own], r["pos"][own], r["doc"][lead[own]], r["pos"][lead[own]]
+            if by_text:
+                out["text"] = r["text"][own]
             yield blocks(spread(mix(out["doc"].astype(np.uint64)), n_parts), n_parts, lambda rows, out=out: out[rows].tobytes())
 
     return run
@@ -188,23 +196,29 @@ def _repeats(n_parts):
 _SPAN_SQL = "doc_id long, start_word int, n_words int, first_doc_id long, first_word int"
 
 
-def _spans(size):
+def _spans(size, by_text):
     def run(batches):
-        r = np.unique(read_blocks(batches, _REPEAT))
+        r = np.unique(read_blocks(batches, _REPEAT_OF if by_text else _REPEAT))
         if not len(r):
             return
-        r = r[np.lexsort((r["pos"], r["doc"]))]
+        text = r["text"] if by_text else np.zeros(len(r), np.int64)
+        order = np.lexsort((r["pos"], text, r["doc"]))
+        r, text = r[order], text[order]
         new = np.ones(len(r), bool)
-        new[1:] = (r["doc"][1:] != r["doc"][:-1]) | (r["first"][1:] != r["first"][:-1]) | (r["pos"][1:] != r["pos"][:-1] + 1) | (r["at"][1:] != r["at"][:-1] + 1)
+        new[1:] = (r["doc"][1:] != r["doc"][:-1]) | (text[1:] != text[:-1]) | (r["first"][1:] != r["first"][:-1]) | (r["pos"][1:] != r["pos"][:-1] + 1) | (r["at"][1:] != r["at"][:-1] + 1)
         cut = np.flatnonzero(new)
         n = np.diff(cut, append=len(r)) + size - 1
         a = r[cut]
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in (a["doc"], a["pos"], n.astype(np.int32), a["first"], a["at"])], names=["doc_id", "start_word", "n_words", "first_doc_id", "first_word"])
+        columns = [a["doc"], a["pos"], n.astype(np.int32), a["first"], a["at"]]
+        names = ["doc_id", "start_word", "n_words", "first_doc_id", "first_word"]
+        if by_text:
+            columns, names = [*columns, text[cut]], [*names, "text_hash"]
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in columns], names=names)
 
     return run
 
 
-def repeats(docs: DataFrame, min_words: int = MIN_WORDS, anchor: int = ANCHOR) -> DataFrame:
+def repeats(docs: DataFrame, min_words: int = MIN_WORDS, anchor: int = ANCHOR, by_text: bool = False) -> DataFrame:
     """Maximal repeats in docs(doc_id, text): one row for each.
 
     doc_id, start_word, n_words, first_doc_id, first_word: these words of the
@@ -216,7 +230,9 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, anchor: int = ANCHOR) -
     overlap where the source changes. Repeats inside one document, or between
     rows that share a doc_id, do not count. Texts that are null, empty or
     shorter than min_words, and rows with a null doc_id, have no repeats.
-    Other columns are ignored; an empty table gives an empty result.
+    Other columns are ignored; an empty table gives an empty result. by_text
+    keeps the spans of different texts that share a doc_id apart and adds
+    text_hash (xxhash64) to them.
     """
     if not 0 < anchor <= min_words:
         raise ValueError("anchor must be between 1 and min_words")
@@ -226,9 +242,9 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, anchor: int = ANCHOR) -
     found = stored(found, "suffixes")
     ids, few = small_ids(found, "need_id")
     keys = found.groupBy("need_id").agg(F.collect_list("keys").alias("keys"))
-    near = keep_ids(cols, "doc_id", ids, few, "need_id").join(keys, F.col("doc_id") == F.col("need_id")).select("doc_id", "text", "keys")
-    late = dealt(near.mapInArrow(_windows(min_words, anchor, n), BLOCK), n).mapInArrow(_repeats(n), BLOCK)
-    return dealt(late, n).mapInArrow(_spans(min_words), _SPAN_SQL)
+    near = keep_ids(cols, "doc_id", ids, few, "need_id").join(keys, F.col("doc_id") == F.col("need_id")).select("doc_id", "text", "keys", *([F.xxhash64("text").alias("text_hash")] if by_text else []))
+    late = dealt(near.mapInArrow(_windows(min_words, anchor, n, by_text), BLOCK), n).mapInArrow(_repeats(n, by_text), BLOCK)
+    return dealt(late, n).mapInArrow(_spans(min_words, by_text), _SPAN_SQL + (", text_hash long" if by_text else ""))
 
 
 def _cut(batches):
@@ -264,15 +280,16 @@ def _cut(batches):
 
 
 def cut(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """docs without the words of their spans, first occurrences kept.
+    """docs without the words of their spans (`repeats` by_text), first occurrences kept.
 
     Documents without spans are unchanged; those of which nothing would be
-    left are dropped. n_chars, where there is one, follows the text.
+    left are dropped. Rows that share a doc_id lose the spans of their own text
+    only. n_chars, where there is one, follows the text.
     """
-    each = spans.groupBy(F.col("doc_id").alias("span_doc")).agg(F.collect_list(F.struct("start_word", "n_words")).alias("spans"))
+    each = spans.groupBy(F.col("doc_id").alias("span_doc"), F.col("text_hash").alias("span_text")).agg(F.collect_list(F.struct("start_word", "n_words")).alias("spans"))
     others = [c for c in docs.columns if c != "text"]
-    plain = docs.select(F.struct(*others).alias("row"), F.col("text").cast("string").alias("text"), F.col("doc_id").alias("join_id"))
-    both = plain.join(each, F.col("join_id") == F.col("span_doc"), "left")
+    plain = docs.select(F.struct(*others).alias("row"), F.col("text").cast("string").alias("text"), F.col("doc_id").alias("join_id"), F.xxhash64(F.col("text").cast("string")).alias("join_text"))
+    both = plain.join(each, (F.col("join_id") == F.col("span_doc")) & (F.col("join_text") == F.col("span_text")), "left")
     clean = both.where("spans is null").select("row", "text")
     hit = both.where("spans is not null").select("row", "text", "spans")
     hit = hit.mapInArrow(_cut, hit.select("row", "text").schema)
@@ -284,4 +301,4 @@ def cut(docs: DataFrame, spans: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs after `cut` by `repeats`."""
-    return cut(docs, stored(repeats(docs, min_words), "repeats"))
+    return cut(docs, stored(repeats(docs, min_words, by_text=True), "repeats"))
