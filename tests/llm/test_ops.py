@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 
 import public_tokenizers
-from tidemark.llm import byte_bpe, components, decontaminate, embedding_dedup, language_id, license_scan, ngram_join, pretokens, quality, sharding, suffix_dedup, token_store
+from tidemark.llm import byte_bpe, components, decontaminate, embedding_dedup, exchange, language_id, license_scan, ngram_join, pretokens, quality, sharding, suffix_dedup, token_store
 from tidemark.llm.hashindex import HashIndex
 
 WORDS = "the and of ing tion éa ouen der und que con ar el bra lum".split()
@@ -84,6 +84,44 @@ def test_ngram_join(spark, rows):
     assert {r.doc_id for r in kept.collect()} == set(roots.values()) and kept.columns == frame(spark, rows).columns
 
 
+def test_ngram_join_of_rows_that_share_an_id(spark):
+    """Each row links by its own text, in any order of the rows, with or without a doc_id."""
+    a = " ".join(f"w{i}" for i in range(60))
+    near, other = a.replace("w59", "x"), " ".join(f"q{i}" for i in range(40))
+    for rows in ([(1, a), (1, other), (2, near), (None, other), (None, None)], [(1, other), (None, None), (2, near), (None, other), (1, a)]):
+        docs = spark.createDataFrame([(i, t, 3, "s") for i, t in rows], "doc_id long, text string, kept_id int, root string")
+        got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in ngram_join.join(docs).collect())
+        assert got == [("1", 36, "1"), ("1", 56, "1"), ("2", 56, "1"), ("None", 0, "None"), ("None", 36, "1")]
+        left = ngram_join.one_of_each(docs)
+        assert left.columns == docs.columns and sorted((str(r.doc_id), str(r.text)) for r in left.collect()) == sorted([("1", a), ("1", other), ("None", "None")])
+    bare = spark.createDataFrame([(None, a), (None, near), (7, near)], "doc_id long, text string")
+    assert sorted(str(r.component_id) for r in ngram_join.join(bare).collect()) == ["7"] * 3 and [r.doc_id for r in ngram_join.one_of_each(bare).collect()] == [7]
+
+
+def test_ngram_join_of_large_buckets(spark, monkeypatch):
+    """Buckets far above the block size, with several components in them, lose no link."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    rng = random.Random(8)
+    base, rows = [[f"{c}{i}" for i in range(80)] for c in "ab"], []
+    for i in range(90):
+        w = list(base[i % 2])
+        if i % 3 == 0:
+            w[40:] = base[0][40:]
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(80)] = f"z{rng.randrange(9)}"
+        rows.append((i, " ".join(w)))
+    sets = {i: shingles(t) for i, t in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert {r.doc_id: r.component_id for r in ngram_join.join(frame(spark, rows)).collect()} == closure(sets, links)
+
+
+def test_hot_join(spark):
+    left = spark.range(9000).selectExpr("id", "if(id % 3 = 0, 1, if(id % 7 = 0, null, id)) as k")
+    right = spark.range(0, 9000, 2).selectExpr("id + 1 as k", "id as x")
+    want = sorted(map(str, left.join(right, "k", "left").collect()))
+    assert sorted(map(str, exchange.hot_join(left, right, "k").collect())) == want
+
+
 def test_ngram_keys_meet():
     """Any two sets that link share a bucket key, whatever their sizes."""
     rng = np.random.default_rng(0)
@@ -310,6 +348,37 @@ def test_sharding(spark, rows):
     assert np.bincount(sharding.jump(keys, 40)).std() < 120 and (sharding.jump(keys, 1) == 0).all()
 
 
+def test_jump_hash_law():
+    """Equal to the published loop for one key, and one more shard takes keys only into itself."""
+
+    def one(key, n):
+        b, j = -1, 0
+        while j < n:
+            b = j
+            key = (key * 2862933555777941757 + 1) & (1 << 64) - 1
+            j = int((b + 1) * (float(1 << 31) / ((key >> 33) + 1)))
+        return b
+
+    rng = random.Random(6)
+    keys = [rng.randrange(1 << 64) for _ in range(400)] + [0, 1, (1 << 64) - 1]
+    last = None
+    for n in (1, 2, 3, 7, 40, 41, 1000):
+        got = sharding.jump(np.array(keys, np.uint64), n).tolist()
+        assert got == [one(k, n) for k in keys]
+    for n in range(1, 60):
+        now = sharding.jump(np.array(keys, np.uint64), n)
+        assert last is None or ((now == last) | (now == n - 1)).all()
+        last = now
+
+
+def test_sharding_write(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"t{i}", 5) for i in range(50)] + [(None, None, 5)], "doc_id long, text string, shard int")
+    sharding.write(docs, f"{tmp_path}/out")
+    back = spark.read.parquet(f"{tmp_path}/out")
+    want = {r.doc_id: r.shard for r in sharding.assign(docs).collect()}
+    assert {r.doc_id: r.shard for r in back.collect()} == want and back.where("shard_before = 5").count() == 51
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(0)
     data, base = [], rng.normal(size=(8, 16))
@@ -453,7 +522,7 @@ def test_null_ids_and_repeated_rows(spark):
     docs = frame(spark, rows)
     got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in ngram_join.join(docs).collect())
     assert got == [("1", 2, "1"), ("1", 2, "1"), ("2", 2, "2"), ("None", 0, "None"), ("None", 2, "1")]
-    assert ngram_join.one_of_each(docs).count() == 5
+    assert sorted((str(r.doc_id), str(r.text)) for r in ngram_join.one_of_each(docs).collect()) == [("1", "a b c d e f"), ("2", "g h i j k l"), ("None", "None")]
     for df in (sharding.assign(docs), license_scan.scan(docs), token_store.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json")), byte_bpe.digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))):
         assert sorted(str(r.doc_id) for r in df.collect()) == ["1", "1", "2", "None", "None"]
     assert suffix_dedup.repeats(docs).count() == 0 and suffix_dedup.dedup(docs).count() == 5

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,13 +16,20 @@ _ARROW = pa.schema([("part", pa.int32()), ("block", pa.binary())])
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, set here only where unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir.
+
+    Where it is unset, a session of one machine (master local) keeps its
+    tables beside its warehouse; on a cluster that would be no shared folder,
+    so the setting is asked for.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         known = spark.sparkContext.getCheckpointDir()
         path = os.path.dirname(known.rstrip("/")) if known else None
     if not path:
-        path = "file://" + os.path.join(tempfile.gettempdir(), "tidemark-shared")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        path = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/shared"
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
@@ -39,6 +46,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Deletes the files of a table made by `stored` that nothing reads any more."""
+    for folder in {os.path.dirname(f) for f in df.inputFiles()}:
+        fs, inner = pafs.FileSystem.from_uri(folder)
+        fs.delete_dir(inner)
+
+
 def plain_scan(df: DataFrame) -> bool:
     """Whether df is read from files through projections and filters only, so that every scan has the same partitions."""
     plan = df._jdf.queryExecution().optimizedPlan()
@@ -47,8 +61,32 @@ def plain_scan(df: DataFrame) -> bool:
     return plan.nodeName().startswith("LogicalRelation") or plan.nodeName().startswith("Relation")
 
 
-def parts(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def parts(spark: SparkSession, units: int = 0, each: int = 1) -> int:
+    """Parts to deal to: the session's shuffle partitions, or more where a part would get over `each` of the units."""
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-units // each))
+
+
+def text_bytes(df: DataFrame, column: str = "text") -> int:
+    """Bytes of a text column, counted over all rows."""
+    return df.agg(F.sum(F.octet_length(column)).alias("n")).first()["n"] or 0
+
+
+def hot_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """left joined (left outer) with right, which has each key once; a key may hold any share of left.
+
+    Keys that hold more than a quarter of an even part of left, of which there
+    can be no more than four times the number of parts, are joined by
+    broadcast, the others by a shuffle; left should be a stored table.
+    """
+    sizes = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
+    seen = sizes.agg(F.sum("rows").alias("total"), F.max("rows").alias("most")).first()
+    level = max(1000, (seen["total"] or 0) // (4 * parts(left.sparkSession)))
+    hot = [r[key] for r in sizes.where(F.col("rows") > level).select(key).collect()] if (seen["most"] or 0) > level else []  # at most four keys a part
+    if not hot:
+        return left.join(right, key, "left")
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    rest = left.where(~is_hot).join(right.where(~is_hot), key, "left")
+    return rest.unionByName(left.where(is_hot).join(F.broadcast(right.where(is_hot)), key, "left"))
 
 
 def dealt(df: DataFrame, n: int) -> DataFrame:

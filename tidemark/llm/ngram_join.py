@@ -36,14 +36,14 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .exchange import BLOCK as BLOCK_SQL
-from .exchange import blocks, dealt, keep_ids, parts, read_blocks, small_ids, spread, stored
+from .exchange import blocks, dealt, dropped, hot_join, keep_ids, parts, read_blocks, small_ids, spread, stored
 from .words import BLANKS, mix, rolling, run_hash, slices, words
 
 K, PERCENT = 5, 80
 GROWTH = 1.6  # ratio of the largest to the smallest size whose larger set decides a band
+CELL_ROWS = 1 << 17  # rows of bucket members in one task
 CHUNK = 48  # sets verified against one other set in a group
 BLOCK = 1024  # members of a bucket on each side of a sketch comparison
-_REC = np.dtype([("key", "<u8"), ("node", "<i8")])
 
 
 def shingle_sets(column, k: int = K):
@@ -133,69 +133,45 @@ def keys_of(sets: np.ndarray, bands: Bands) -> np.ndarray:
     return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
 
-_FEATURES = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n_shingles", pa.int64()), ("sketch", pa.binary())])
+_FEATURES = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("node", pa.int64()), ("n_shingles", pa.int64()), ("sketch", pa.binary())])
 
 
 def _features(k):
     def run(batches):
         for b in batches:
             found = [(set_print(x), len(x), bit_sketch(x) if len(x) else None) for _, x in shingle_sets(b.column("text"), k)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.binary())], schema=_FEATURES)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.binary())], schema=_FEATURES)
 
     return run
 
 
-def _keys(k, percent, n_parts):
+_KEYS = pa.schema([("bucket", pa.int64()), ("node", pa.int64())])
+
+
+def _keys(k, percent):
     def run(batches):
+        """Bucket keys of every distinct set of a batch."""
         bands = Bands(percent)
         for b in batches:
-            seen, rec, size = set(), [], 0
+            seen, keys, nodes, size = set(), [], [], 0
             for _, x in shingle_sets(b.column("text"), k):
                 node = set_print(x)
                 if not node or node in seen:
                     continue
                 seen.add(node)
-                key = keys_of(x, bands)
-                r = np.empty(len(key), _REC)
-                r["key"], r["node"] = key, node
-                rec.append(r)
-                size += len(r)
-                if size > 1 << 20:
-                    yield _packed(rec, n_parts)
-                    rec, size = [], 0
+                key = keys_of(x, bands).view(np.int64)
+                keys.append(key)
+                nodes.append(np.full(len(key), node, np.int64))
+                size += len(key)
+                if size > 1 << 18:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(nodes))], schema=_KEYS)
+                    keys, nodes, size = [], [], 0
             if size:
-                yield _packed(rec, n_parts)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(nodes))], schema=_KEYS)
 
     return run
 
 
-def _packed(rec, n_parts):
-    r = np.concatenate(rec)
-    return blocks(spread(r["key"], n_parts), n_parts, lambda rows: r[rows].tobytes())
-
-
-_BUCKETS = pa.schema([("bucket", pa.int64()), ("nodes", pa.list_(pa.int64()))])
-
-
-def _buckets(batches):
-    """Distinct nodes of every key that at least two nodes share, smallest node first."""
-    r = np.unique(read_blocks(batches, _REC))
-    if not len(r):
-        return
-    cut = np.flatnonzero(np.diff(r["key"], prepend=~r["key"][:1]))
-    size = np.diff(cut, append=len(r))
-    many = size >= 2
-    cut, size = cut[many], size[many]
-    inside = np.repeat(cut, size) + (np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size))
-    nodes, keys = r["node"][inside], r["key"][cut].view(np.int64) if len(cut) else np.zeros(0, np.int64)
-    ends = np.r_[0, np.cumsum(size)]
-    for lo in range(0, len(cut), 5000):
-        hi = min(len(cut), lo + 5000)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(keys[lo:hi]), pa.ListArray.from_arrays(pa.array((ends[lo : hi + 1] - ends[lo]).astype(np.int32)), pa.array(nodes[ends[lo] : ends[hi]]))], schema=_BUCKETS
-        )
-
-
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * both >= percent * (len(a) + len(b) - both)
@@ -218,15 +194,15 @@ def _verify(k, percent):
 
 
 def verified(pairs: DataFrame, texts: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (u, v) of nodes that link. reps: node, doc_id of one document of each node."""
+    """The pairs (u, v) of nodes that link. reps: node and the text_key of one of its texts."""
     pairs = stored(pairs, "pairs")
-    degree = pairs.groupBy("u").agg(F.count(F.lit(1)).alias("deg"))
-    cut = pairs.join(degree, "u").select("u", "v", F.pmod(F.xxhash64("v"), F.ceil(F.col("deg") / CHUNK)).alias("salt"))
+    degree = pairs.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks"))
+    cut = pairs.join(degree, "u").select("u", "v", F.pmod(F.xxhash64("v"), F.col("chunks")).alias("salt"))
     need = cut.select(F.col("v").alias("node"), "u", "salt", F.lit(False).alias("centre")).unionByName(cut.select(F.col("u").alias("node"), "u", "salt", F.lit(True).alias("centre")).distinct())
     need = stored(need.join(reps, "node"), "need")
-    ids, few = small_ids(need.select(F.col("doc_id").alias("need_id")), "need_id")
-    wanted = keep_ids(texts, "doc_id", ids, few, "need_id")
-    chunks = need.join(wanted.dropDuplicates(["doc_id"]), "doc_id").select("u", "salt", "node", "centre", "text")
+    ids, few = small_ids(need.select(F.col("text_key").alias("need_id")), "need_id")
+    wanted = keep_ids(texts, "text_key", ids, few, "need_id")
+    chunks = need.join(wanted.dropDuplicates(["text_key"]), "text_key").select("u", "salt", "node", "centre", "text")
     return chunks.groupBy("u", "salt").applyInArrow(_verify(k, percent), "u long, v long")
 
 
@@ -259,9 +235,10 @@ def _apart(percent, n_parts):
 
         A pair meets in many buckets; as packed records its copies cost 16 bytes each.
         """
-        t = pa.Table.from_batches(list(batches))
-        if not t.num_rows:
+        held = [b for b in batches if b.num_rows]
+        if not held:
             return
+        t = pa.Table.from_batches(held)
         col = {c: t.column(c).to_numpy() for c in ("bucket", "a", "b", "side", "node", "root", "size")}
         order = np.lexsort((col["node"], col["side"], col["b"], col["a"], col["bucket"]))
         col = {c: x[order] for c, x in col.items()}
@@ -304,6 +281,68 @@ def _distinct_pairs(batches):
         yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(r["u"])), pa.array(np.ascontiguousarray(r["v"]))], schema=_LINKS)
 
 
+def _stars(texts: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Members (bucket, node) of all buckets with two nodes or more, and pairs (u, v) of each bucket's smallest node with the others.
+
+    Keys and nodes are counted as rows, so a bucket of any size is spread over all tasks.
+    """
+    each = stored(texts.select("text").mapInArrow(_keys(k, percent), "bucket long, node long").distinct(), "keys")
+    heads = each.groupBy("bucket").agg(F.min("node").alias("u"), F.count(F.lit(1)).alias("size")).where("size >= 2").select("bucket", "u")
+    heads = stored(heads, "heads")
+    members = stored(hot_join(each, heads, "bucket").where("u is not null"), "members")
+    dropped(each)
+    return members, members.where("node <> u").select("u", F.col("node").alias("v")).distinct()
+
+
+def _cells(members: DataFrame, known: DataFrame) -> tuple[DataFrame, int]:
+    """Members of buckets that still hold several components, once for each pair of blocks they take part in; and their number.
+
+    members: bucket, node; known: node, size, sketch, root. The largest
+    component of a bucket is its major part, all else the minor one. Members
+    of the major part are linked already, so its blocks meet only the minor
+    ones: what a bucket costs is its size times the blocks of its minor part.
+    """
+    members = stored(members.select("bucket", "node").join(known.select("node", "root"), "node"), "members")
+    by_root = members.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
+    split = by_root.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n")).where("n > top.n")
+    blocks_of = lambda n: F.ceil(n / BLOCK).cast("long")
+    split = split.select("bucket", F.col("top.root").alias("major"), blocks_of(F.col("n") - F.col("top.n")).alias("few"), blocks_of(F.col("top.n")).alias("many"), (F.col("n") - F.col("top.n")).alias("minor"), F.col("top.n").alias("rest"))
+    split = stored(split, "split")
+    rows = split.agg(F.sum(F.expr("minor * (few + many) + rest * few")).alias("n")).first()["n"] or 0
+    own = hot_join(members, split.drop("minor", "rest"), "bucket").where("major is not null")
+    inside = F.col("root") == F.col("major")
+    block = F.pmod(F.xxhash64("node"), F.when(inside, F.col("many")).otherwise(F.col("few"))) + F.when(inside, F.col("few")).otherwise(0)
+    last = F.when(inside, F.col("few")).otherwise(F.col("few") + F.col("many")) - 1
+    own = own.select("bucket", "node", block.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("other"))
+    cells = own.select("bucket", "node", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"))
+    return cells.join(known, "node"), int(rows)
+
+
+def components_of(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
+    """As `join`, with three more columns: text_key (xxhash64 of the text), node (0 for the empty set) and root (a node that names the component)."""
+    spark = docs.sparkSession
+    text = F.col("text").cast("string")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
+    rows = stored(texts.mapInArrow(_features(k), "doc_id long, text_key long, node long, n_shingles long, sketch binary"), "features")
+    info = rows.where("node <> 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("text_key").alias("text_key"), F.max("n_shingles").alias("size"), F.first("sketch").alias("sketch"))
+    info = stored(info, "nodes")
+    reps, texts = info.select("node", "text_key"), texts.select("text", "text_key")
+
+    members, stars = _stars(texts, k, percent)
+    first = stored(verified(near_pairs(stars, info, percent), texts, reps, k, percent), "links")
+    known = stored(info.select("node", "size", "sketch").join(components(first), "node", "left").select("node", "size", "sketch", F.coalesce("root", "node").alias("root")), "known")
+    cells, count = _cells(members, known)
+    n = parts(spark, count, CELL_ROWS)
+    pairs = dealt(cells.repartition(n, "bucket", "a", "b").mapInArrow(_apart(percent, n), BLOCK_SQL), n).mapInArrow(_distinct_pairs, "u long, v long")
+    pairs = pairs.join(members.select("u", F.col("node").alias("v")).distinct(), ["u", "v"], "left_anti")
+    roots = components(first.unionByName(verified(pairs, texts, reps, k, percent)))
+    low = roots.join(info.select("node", "doc_id"), "node").groupBy("root").agg(F.min("doc_id").alias("low"))
+    named = roots.join(low, "root").select("node", "root", "low")
+    named = info.select("node", "doc_id").join(named, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.coalesce("low", "doc_id").alias("low"))
+    out = hot_join(rows.select("doc_id", "text_key", "node", "n_shingles"), named, "node")
+    return out.select("doc_id", "n_shingles", F.coalesce("low", "doc_id").alias("component_id"), "text_key", "node", "root")
+
+
 def join(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     """Components of the k-shingle Jaccard join of docs(doc_id, text, ...).
 
@@ -312,40 +351,30 @@ def join(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     Texts that are null, empty or without words have the empty set and link
     with nothing; with fewer than k words, the whole sequence is the only
     shingle. Rows with the same text, or the same doc_id, are rows of their
-    own; where a doc_id comes with several texts, one of them is compared
-    for each. A null doc_id stays null, with the component of its set.
+    own, each compared with its own text. A null doc_id stays null, with the
+    smallest doc_id of its component. Texts of any length are taken whole.
     Other columns of docs are ignored. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    n = parts(spark)
-    rows = stored(texts.mapInArrow(_features(k), "doc_id long, node long, n_shingles long, sketch binary"), "features")
-    info = rows.where("node <> 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("size"), F.first("sketch").alias("sketch"))
-    info = stored(info, "nodes")
-    one = info.select("node", "doc_id")
-    buckets = stored(dealt(texts.mapInArrow(_keys(k, percent, n), BLOCK_SQL), n).mapInArrow(_buckets, "bucket long, nodes array<long>"), "buckets")
-
-    stars = buckets.select(F.col("nodes")[0].alias("u"), F.explode(F.slice("nodes", F.lit(2), F.greatest(F.size("nodes") - 1, F.lit(1)))).alias("v")).distinct()
-    first = stored(verified(near_pairs(stars, info, percent), texts, one, k, percent), "links")
-    roots = components(first)
-
-    member = buckets.where(F.size("nodes") > 2).select("bucket", F.ceil(F.size("nodes") / BLOCK).cast("int").alias("blocks"), F.explode("nodes").alias("node"))
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, own).alias("a"), F.greatest(o, own).alias("b"), F.when(own <= o, 0).otherwise(1).alias("side")))
-    member = member.select("bucket", "node", F.explode(meets).alias("m")).select("bucket", "node", "m.a", "m.b", "m.side")
-    known = info.select("node", "size", "sketch").join(roots, "node", "left").select("node", "size", "sketch", F.coalesce("root", "node").alias("root"))
-    cells = member.join(known, "node").repartition(n, "bucket", "a", "b")
-    pairs = dealt(cells.mapInArrow(_apart(percent, n), BLOCK_SQL), n).mapInArrow(_distinct_pairs, "u long, v long").join(stars, ["u", "v"], "left_anti")
-    roots = components(first.unionByName(verified(pairs, texts, one, k, percent)))
-
-    ids = roots.join(one, "node").groupBy("root").agg(F.min("doc_id").alias("low"))
-    named = roots.join(ids, "root").select("node", "low")
-    named = one.join(named, "node", "left").select("node", F.coalesce("low", "doc_id").alias("low"))
-    return rows.select("doc_id", "node", "n_shingles").join(named, "node", "left").select("doc_id", "n_shingles", F.coalesce("low", "doc_id").alias("component_id"))
+    return components_of(docs, k, percent).select("doc_id", "n_shingles", "component_id")
 
 
 def one_of_each(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
-    """The documents that are the smallest doc_id of their component, and those without a doc_id."""
-    kept = join(docs, k, percent).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    named = docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi")
-    return named.unionByName(docs.where("doc_id is null"))
+    """One row of each group of linked rows of docs, unchanged: the smallest doc_id, then the smallest text hash.
+
+    Rows with the same text are one group, so repeated rows leave one; so do
+    rows without a doc_id that link with others. Rows without words (null,
+    empty or blank texts) link with nothing and all stay. A doc_id with texts
+    that do not link keeps them all. Columns of any name pass through; an
+    empty table gives an empty result.
+    """
+    found = components_of(docs, k, percent).where("node <> 0").groupBy("root", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("rows"))
+    best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "text_key", "rows")).alias("best"))
+    best = stored(best.select(F.col("best.doc_id").alias("kept_id"), F.col("best.text_key").alias("kept_key"), (F.col("best.rows") > 1).alias("several")), "kept")
+    text = F.col("text").cast("string")
+    plain = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("key"), F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("worded"))
+    mine = F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("key") == F.col("kept_key"))
+    out = plain.where(~F.col("worded")).select("row.*").unionByName(plain.where("worded").join(best.where("not several"), mine, "left_semi").select("row.*"))
+    if not best.where("several").isEmpty():
+        again = plain.where("worded").join(best.where("several"), mine, "left_semi")
+        out = out.unionByName(again.groupBy("id", "key").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*"))
+    return out

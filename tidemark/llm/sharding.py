@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from .exchange import parts
 from .words import mix
@@ -64,8 +65,10 @@ def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     kind = f"doc_id long, size long, text_crc32 long, shard_{shards} int, shard_{shards + 1} int"
     rows = cols.mapInArrow(_jumps((shards, shards + 1)), kind).withColumnsRenamed({f"shard_{shards}": "shard", f"shard_{shards + 1}": "grown_shard"})
     buckets = max(1, parts(spark) * 4 // shards + 1)
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
-    counts = rows.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int").alias("bucket")
+    rows = rows.select("*", bucket)
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(_jumps((shards,)), f"doc_id long, shard_{shards} int")
+    counts = ids.select(F.col(f"shard_{shards}").alias("shard"), bucket).groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = counts.select("shard", "bucket", (F.sum("n").over(Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"))
     inner = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("doc_id", "size", "text_crc32"))
     numbered = rows.withColumn("inner", inner)
@@ -76,8 +79,11 @@ def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 
 def write(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
-    """docs as Parquet in one folder for each shard, shard=0 and so on."""
-    plain = docs.select("doc_id", F.struct(*docs.columns).alias("row"))
-    kind = plain.schema.add(f"shard_{shards}", "int")
+    """docs as Parquet in one folder for each shard, shard=0 and so on.
+
+    A column of docs that is itself named shard is kept as shard_before.
+    """
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(*(F.col(f"`{c}`").alias("shard_before" if c == "shard" else c) for c in docs.columns)).alias("row"))
+    kind = StructType([*plain.schema.fields, StructField(f"shard_{shards}", IntegerType())])
     rows = plain.mapInArrow(_jumps((shards,)), kind).withColumnRenamed(f"shard_{shards}", "shard_no")
     rows.select("row.*", F.col("shard_no").alias("shard")).write.partitionBy("shard").parquet(path)
