@@ -479,6 +479,17 @@ def test_classifiers(spark):
     kept = {r.doc_id for r in language_id.accepted(df).collect()}
     assert kept == {i for i, r in got.items() if not r.rejected} and len(kept) > 0.97 * len(data)
 
+    model = language_id.fit(df)
+    noisy = language_id.noise([x[1] for x in data], np.random.default_rng(17))
+    junk = spark.createDataFrame(list(enumerate(noisy)), "doc_id long, text string")
+    assert np.mean([r.rejected for r in language_id.identify(junk, model).collect()]) > 0.95 and language_id.accepted(junk, model).count() < 0.05 * len(data)
+    mixed = spark.createDataFrame([(1, " ".join(data[0][1].split() + data[1][1].split()))], "doc_id long, text string")
+    assert not language_id.identify(mixed, model).first().rejected
+    folded = language_id.mean_logits(model, np.frombuffer(b"The Ingwhe", np.uint8), np.array([0, 3, 10]))
+    for part, row in zip((b"the", b" ingwhe"), folded, strict=True):  # the mean of the table's rows, gram by gram
+        grams = [language_id.buckets(np.frombuffer(part[i : i + n], np.uint8), n)[0] for n in language_id.GRAMS for i in range(len(part) - n + 1)]
+        assert row == pytest.approx(np.mean(model.table[grams], axis=0), rel=1e-4)
+
     labels = df.select("doc_id", df["score"].alias("quality"))
     out = {r.doc_id: r for r in quality.score(df, quality.fit(df, labels)).collect()}
     held = [(out[i].predicted, good) for i, _, _, good in data if out[i].held_out]
