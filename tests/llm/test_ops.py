@@ -479,7 +479,8 @@ def test_classifiers(spark):
     kept = {r.doc_id for r in language_id.accepted(df).collect()}
     assert kept == {i for i, r in got.items() if not r.rejected} and len(kept) > 0.97 * len(data)
 
-    model = language_id.fit(df)
+    clean = [(" ".join(rng.choice(parts[x]) + rng.choice(parts[x]) for _ in range(40)), x, 1.0) for x in parts for _ in range(100)]
+    model = language_id.train(clean)
     noisy = language_id.noise([x[1] for x in data], np.random.default_rng(17))
     junk = spark.createDataFrame(list(enumerate(noisy)), "doc_id long, text string")
     assert np.mean([r.rejected for r in language_id.identify(junk, model).collect()]) > 0.95 and language_id.accepted(junk, model).count() < 0.05 * len(data)
