@@ -481,9 +481,9 @@ def test_classifiers(spark):
 
     clean = [(" ".join(rng.choice(parts[x]) + rng.choice(parts[x]) for _ in range(40)), x, 1.0) for x in parts for _ in range(100)]
     model = language_id.train(clean)
-    noisy = language_id.noise([x[1] for x in data], np.random.default_rng(17))
+    noisy = language_id.noise([x[0] for x in clean], np.random.default_rng(17))
     junk = spark.createDataFrame(list(enumerate(noisy)), "doc_id long, text string")
-    assert np.mean([r.rejected for r in language_id.identify(junk, model).collect()]) > 0.95 and language_id.accepted(junk, model).count() < 0.05 * len(data)
+    assert np.mean([r.rejected for r in language_id.identify(junk, model).collect()]) > 0.95 and language_id.accepted(junk, model).count() < 0.05 * len(clean)
     mixed = spark.createDataFrame([(1, " ".join(data[0][1].split() + data[1][1].split()))], "doc_id long, text string")
     assert not language_id.identify(mixed, model).first().rejected
     folded = language_id.mean_logits(model, np.frombuffer(b"The Ingwhe", np.uint8), np.array([0, 3, 10]))
