@@ -231,6 +231,24 @@ def test_decontaminate_rows_of_several_blocks(spark):
     assert sorted(r[:3] for r in many) == sorted((str(i), *map(str, hits[t])) for i in (None, 5) for t in texts)
 
 
+def test_decontaminate_removes_rows_by_their_own_text(spark):
+    bench = spark.createDataFrame([("a", "p q"), ("b", "v w x")], "item_id string, text string")
+    rows = [(1, "p q r"), (1, "clean words"), (None, "v w x"), (None, "clean"), (2, None), (2, ""), (3, "clean words"), (3, "clean words")]
+    docs = spark.createDataFrame([(i, t, 1, "s") for i, t in rows], "doc_id long, text string, bad_id int, spans string")
+    for n in (decontaminate.BLOCK_WORDS, 1):
+        left = decontaminate.remove(docs, bench, block_words=n)
+        assert left.columns == docs.columns
+        assert sorted((str(r.doc_id), str(r.text)) for r in left.collect()) == sorted((str(i), str(t)) for i, t in rows if t not in ("p q r", "v w x"))
+
+
+def test_decontaminate_longest_in_report(spark):
+    item = [f"w{i}" for i in range(40)]
+    docs = frame(spark, [(1, " ".join(["x", *item[5:30], "y", *item[:13]])), (2, "none"), (3, None)])
+    bench = spark.createDataFrame([("a", " ".join(item)), ("b", " ".join(item[4:25]))], "item_id string, text string")
+    got = {r.doc_id: (r.longest, r.longest_word, r.longest_item, r.longest_item_word, r.n_items) for r in decontaminate.report(docs, bench).collect()}
+    assert got == {1: (25, 1, "a", 5, 2), 2: (None,) * 4 + (0,), 3: (None,) * 4 + (0,)}
+
+
 def test_decontaminate_items_without_id(spark):
     docs = frame(spark, [(1, "p q r s t"), (2, "v w x")])
     bench = spark.createDataFrame([(None, "q r"), ("b", "s t")], "item_id string, text string")

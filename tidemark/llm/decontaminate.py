@@ -58,6 +58,12 @@ class TestSuffixes:
         for j in range(window):
             inside = j < self.size
             self.rows[inside, j] = pad[self.start[inside] + j]
+        # Equal windows are one row of the search; `of` lists the windows of each, `first` where its list begins.
+        if len(self.rows):
+            self.rows, number = np.unique(self.rows, axis=0, return_inverse=True)
+            self.of = np.argsort(number.ravel(), kind="stable")
+            self.first = np.searchsorted(number.ravel()[self.of], np.arange(len(self.rows) + 1))
+            self.length = self.size[self.of[self.first[:-1]]]
         # First words, by which a shard's suffixes are chosen; shorter windows by all of theirs.
         self.heads = {}
         for k in range(1, min(_HEAD, window) + 1):
@@ -127,7 +133,7 @@ def matches(test: TestSuffixes, h: np.ndarray, bounds: np.ndarray):
     """For every document of a slice: hit words, and the items with windows there.
 
     Returns the number of hit words by document, whether each word is hit,
-    (document, item) pairs, and the windows found with their places.
+    (document, item) pairs, and the rows of the search found with their places.
     """
     n_docs = len(bounds) - 1
     cover = np.zeros(len(h) + 1, np.int64)
@@ -135,22 +141,30 @@ def matches(test: TestSuffixes, h: np.ndarray, bounds: np.ndarray):
     if not len(h) or not len(test.start):
         return np.zeros(n_docs, np.int64), cover[:-1] > 0, none, none, none, none
     place, array = suffix_array(test, h, bounds)
-    lo, hi, longest = search(test.rows, test.size, array)
-    full = longest == test.size
-    lo, count = lo[full], (hi - lo)[full]
-    at = place[np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))]
+    lo, hi, longest = search(test.rows, test.length, array)
+    full = np.flatnonzero(longest == test.length)
+    at, row = _expand(lo[full], hi[full])
+    at, row = place[at], full[row]
     np.add.at(cover, at, 1)
-    np.add.at(cover, at + np.repeat(test.size[full], count), -1)
+    np.add.at(cover, at + test.length[row], -1)
     hit = np.cumsum(cover)[:-1] > 0
-    doc = np.searchsorted(bounds, at, "right") - 1
-    window = np.repeat(np.flatnonzero(full), count)
-    pairs = np.unique(np.stack([doc, test.item[window]]), axis=1) if len(at) else np.zeros((2, 0), np.int64)
+    pairs = np.unique(np.stack([np.searchsorted(bounds, at, "right") - 1, row]), axis=1)
+    which, pair = _expand(test.first[pairs[1]], test.first[pairs[1] + 1])
+    pairs = np.unique(np.stack([pairs[0][pair], test.item[test.of[which]]]), axis=1)
     total = np.r_[0, np.cumsum(hit)]
-    return total[bounds[1:]] - total[bounds[:-1]], hit, pairs[0], pairs[1], window, at
+    return total[bounds[1:]] - total[bounds[:-1]], hit, pairs[0], pairs[1], row, at
 
 
-def longest_matches(test: TestSuffixes, window: np.ndarray, at: np.ndarray, bounds: np.ndarray):
-    """Windows and their places joined to longest matches: document, word there, words, item, word there."""
+def _expand(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges [lo, hi), and the range that each comes from."""
+    count = hi - lo
+    return np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(int(count.sum())), np.repeat(np.arange(len(lo)), count)
+
+
+def longest_matches(test: TestSuffixes, row: np.ndarray, at: np.ndarray, bounds: np.ndarray):
+    """The rows found and their places joined to longest matches: document, word there, words, item, word there."""
+    which, place = _expand(test.first[row], test.first[row + 1])
+    window, at = test.of[which], at[place]
     start, item, doc = test.start[window], test.item[window], np.searchsorted(bounds, at, "right") - 1
     order = np.lexsort((at, at - start, item, doc))
     window, at, start, item, doc = (x[order] for x in (window, at, start, item, doc))
@@ -184,7 +198,7 @@ def _scan(test, with_matches):
             n_words, n_hit, items, spans, longest = [], [], [], [], []
             for s in slices(b.column("text")):
                 w = words(s, ALNUM)
-                hits, hit, doc, item, window, at = matches(suffixes, w.hashes, w.bounds)
+                hits, hit, doc, item, row, at = matches(suffixes, w.hashes, w.bounds)
                 n_words += np.diff(w.bounds).tolist()
                 n_hit += hits.tolist()
                 own: list[list[str]] = [[] for _ in range(s.hi - s.lo)]
@@ -194,7 +208,7 @@ def _scan(test, with_matches):
                 items += own
                 held: list[list] = [[] for _ in range(s.hi - s.lo)]
                 if with_matches and len(at):
-                    for d, x, n, i, y in zip(*(c.tolist() for c in longest_matches(suffixes, window, at, w.bounds)), strict=True):
+                    for d, x, n, i, y in zip(*(c.tolist() for c in longest_matches(suffixes, row, at, w.bounds)), strict=True):
                         held[d].append({"word": x, "n_words": n, "item": suffixes.ids[i], "item_word": y})
                 longest += held
                 spans += [json.dumps(_spans(hit[w.bounds[i] : w.bounds[i + 1]])) if hits[i] else "[]" for i in range(s.hi - s.lo)]
@@ -245,14 +259,22 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_word
     number of blocks. Other columns are ignored. Empty tables give an empty
     result, or no hits.
     """
-    spark = docs.sparkSession
     cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    tests = [spark.sparkContext.broadcast(TestSuffixes(block, window)) for block in _item_blocks(benchmark, block_words)]
-    if not tests:
-        tests = [spark.sparkContext.broadcast(TestSuffixes([], window))]
+    tests = _tests(benchmark, window, block_words)
     if len(tests) == 1:
         return cols.mapInArrow(_scan(tests[0], with_matches), _FOUND_SQL).withColumn("items", F.array_sort(F.array_distinct("items"))).withColumn("matches", F.array_sort("matches"))
     keyed = stored(cols.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "keyed")
+    return _by_row(keyed, tests, with_matches).select("doc_id", "n_words", "n_hit", "items", "spans", "matches")
+
+
+def _tests(benchmark: DataFrame, window: int, block_words: int) -> list:
+    """The blocks of test suffixes, each of bounded size, as broadcasts."""
+    sc = benchmark.sparkSession.sparkContext
+    return [sc.broadcast(TestSuffixes(block, window)) for block in _item_blocks(benchmark, block_words)] or [sc.broadcast(TestSuffixes([], window))]
+
+
+def _by_row(keyed: DataFrame, tests: list, with_matches: bool) -> DataFrame:
+    """The findings of several blocks in stored documents with a row key, joined by that key."""
     found = [keyed.mapInArrow(_scan(test, with_matches), f"row long, {_FOUND_SQL}") for test in tests]
     rows = found[0]
     for f in found[1:]:
@@ -260,25 +282,66 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_word
     union = F.udf(lambda s: json.dumps(_union(s)), "string")
     each = rows.groupBy("row", "doc_id", "n_words").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), union(F.collect_list("spans")).alias("spans"), F.array_sort(F.flatten(F.collect_list("matches"))).alias("matches"))
     hits = F.aggregate(F.from_json("spans", "array<array<long>>"), F.lit(0).cast("long"), lambda a, x: a + x[1] - x[0])
-    return each.select("doc_id", "n_words", hits.alias("n_hit"), "items", "spans", "matches")
+    return each.select("row", "doc_id", "n_words", hits.alias("n_hit"), "items", "spans", "matches")
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every document; rows as in `scan`."""
-    return scan(docs, benchmark, with_matches=False).select(
+    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every document; rows as in `scan`.
+
+    longest, longest_word, longest_item and longest_item_word tell of the
+    longest verbatim match (the first of equal ones) how many words it has and
+    where it stands in the document and in the item; null without one.
+    """
+    found = scan(docs, benchmark)
+    best = F.array_max(F.transform("matches", lambda m: F.struct(m["n_words"].alias("n"), (-m["word"]).alias("word"), (-m["item_word"]).alias("at"), m["item"].alias("item"))))
+    return found.withColumn("best", best).select(
         "doc_id",
         "n_words",
         "n_hit",
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+        _contaminated().alias("contaminated"),
+        F.col("best.n").alias("longest"),
+        (-F.col("best.word")).alias("longest_word"),
+        F.col("best.item").alias("longest_item"),
+        (-F.col("best.at")).alias("longest_item_word"),
     )
 
 
-def remove(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that are not contaminated, unchanged; a null doc_id is kept."""
-    bad = report(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("bad_id"), "left_anti")
+def _contaminated():
+    return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
+
+
+def _clean(test):
+    def run(batches):
+        """The rows of which too few words are hit, as they came."""
+        suffixes = test.value
+        for b in batches:
+            keep = []
+            for s in slices(b.column("text").cast(pa.string())):
+                w = words(s, ALNUM)
+                hits = matches(suffixes, w.hashes, w.bounds)[0]
+                keep.append((hits == 0) | (20 * hits < np.diff(w.bounds)))
+            yield b.filter(pa.array(np.concatenate(keep) if keep else np.zeros(0, bool)))
+
+    return run
+
+
+def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of docs that are not contaminated, unchanged.
+
+    Every row is judged by its own text, whatever its doc_id and however often
+    that occurs; null and empty texts have no words and stay. Columns of any
+    name pass through; texts of any length are taken whole. Empty tables give
+    an empty result, or all rows.
+    """
+    tests = _tests(benchmark, window, block_words)
+    if len(tests) == 1:
+        return docs.mapInArrow(_clean(tests[0]), docs.schema)
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole")
+    keyed = stored(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), whole), "keyed")
+    bad = _by_row(keyed.select("row", "doc_id", "text"), tests, False).where(_contaminated()).select("row")
+    return keyed.join(bad, "row", "left_anti").select("whole.*")
 
 
 def item_digest(items: list[str]) -> str:
