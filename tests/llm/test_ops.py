@@ -462,6 +462,51 @@ def test_license_scan(spark, rows):
     assert "mit" in got[10003].labels and "apache-2.0" in got[10004].labels
 
 
+def test_license_matches_and_chains():
+    """Maximal matches, shares and spans against a search of all runs and all chains."""
+    rng = random.Random(12)
+    letters = "a b c d".split()
+    for _ in range(40):
+        templates = tuple((" ".join(rng.choice(letters) for _ in range(rng.randint(4, 9))), f"t{i}") for i in range(3))
+        m = license_scan.Scanner((("zz yy", "base"),), templates)
+        text = [rng.choice([*letters, *letters, "x"]) for _ in range(rng.randint(0, 24))]
+        h = np.array([license_scan.word_hash(w.encode()) for w in text], np.uint64)
+        _, found = m.scan(h, np.array([0, len(h)]))
+        # The longest run that ends at each word and stands in any template; those that cannot be extended, in all templates.
+        runs = {tuple(t.split()[i:j]) for t, _ in templates for i in range(10) for j in range(i + 1, len(t.split()) + 1)}
+        size = [max(k for k in range(i + 2) if not k or tuple(text[i + 1 - k : i + 1]) in runs) for i in range(len(text))]
+        want = set()
+        for i, k in enumerate(size):
+            if k >= license_scan.MIN_MATCH and (i + 1 == len(text) or size[i + 1] <= k):
+                for n, (t, _) in enumerate(templates):
+                    w = t.split()
+                    want |= {(n + 1, j, j + k, i + 1 - k) for j in range(len(w) - k + 1) if w[j : j + k] == text[i + 1 - k : i + 1]}
+        assert {x for own in found.values() for x in own} == want
+        for n, (share, first, end) in (m.chains(sorted(want)) if want else {}).items():
+            own = sorted((w, a, b) for q, a, b, w in want if q == n)
+
+            def grow(end_, to, covered, at, own=own):
+                top = covered
+                for x in range(at, len(own)):
+                    w, a, b = own[x]
+                    late = max(0, end_ - w, to - a) if covered else 0
+                    if (not covered or w - end_ <= license_scan.MAX_GAP) and late < b - a:
+                        top = max(top, grow(w + b - a, b, covered + b - a - late, x + 1))
+                return top
+
+            assert first < end <= len(text) and share * len(m.seqs[n]) <= grow(0, 0, 0, 0) + 1e-9
+            assert share * len(m.seqs[n]) >= max(b - a for _, a, b in own)
+
+
+def test_license_texts(spark):
+    """Whole licences keep their label with a changed line, a name put in, or a part left out."""
+    mit, bsd3 = license_scan.TEXTS[0][0], license_scan.TEXTS[2][0] + " " + license_scan.TEXTS[3][0]
+    texts = [mit, "Copyright (c) 2001 A. Person\n" + mit.replace("AUTHORS OR COPYRIGHT HOLDERS", "X CONSORTIUM"), bsd3, " ".join(mit.split()[40:44]), "free of charge"]
+    got = {r.doc_id: r for r in license_scan.scan(frame(spark, list(enumerate(texts)))).collect()}
+    assert ["mit" in got[i].labels.split(",") for i in range(5)] == [True, True, False, False, False]
+    assert {"bsd", "bsd-3-clause"} <= set(got[2].labels.split(",")) and got[0].score == 1.0 and got[1].score > 0.9
+
+
 def test_license_phrases_inside_templates(spark):
     """Base phrases are found where a longer match holds them."""
     t = [x for x, label in license_scan.TEMPLATES if label == "gpl"][0]

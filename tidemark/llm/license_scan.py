@@ -13,6 +13,7 @@ matches of two words or more can be.
 from __future__ import annotations
 
 import json
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,58 @@ TEMPLATES = (
     ("this is free and unencumbered software released into the public domain", "unlicense"),
     ("the software is provided as is without warranty of any kind express or implied", "no-warranty"),
 )
+#: Whole public licence texts and notices, and their labels (fixed values).
+TEXTS = (
+    ("""Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the
+    "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish,
+    distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the
+    following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the
+    Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+    MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY
+    CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE
+    OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""", "mit"),
+    ("""Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the
+    above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL
+    WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE
+    FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN
+    AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""", "isc"),
+    ("""Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are
+    met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2.
+    Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the
+    documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+    AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR
+    PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL,
+    EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS;
+    OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR
+    OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""", "bsd"),
+    ("""Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this
+    software without specific prior written permission.""", "bsd-3-clause"),
+    ("""Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may
+    obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software
+    distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See
+    the License for the specific language governing permissions and limitations under the License.""", "apache-2.0"),
+    ("""Grant of Copyright License. Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual,
+    worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display,
+    publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form.""", "apache-2.0"),
+    ("""This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope
+    that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See
+    the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program.""", "gpl"),
+    ("""This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this
+    file, You can obtain one at http://mozilla.org/MPL/2.0/.""", "mpl-2.0"),
+    ("""This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages
+    arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications,
+    and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented;
+    you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation
+    would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being
+    the original software. 3. This notice may not be removed or altered from any source distribution.""", "zlib"),
+)
 MIN_MATCH, COVERED, MAX_GAP = 3, 0.6, 12
+_WORD = re.compile("[0-9a-z]+")
+
+
+def template_words(text: str) -> list[str]:
+    return _WORD.findall(text.lower())
 
 
 class Automaton:
@@ -96,12 +148,12 @@ class Automaton:
 
 
 class Scanner:
-    def __init__(self, base=BASE, templates=TEMPLATES):
-        texts = [t for t, _ in (*base, *templates)]
-        tokens = sorted({w for t in texts for w in t.split()})
+    def __init__(self, base=BASE, templates=(*TEMPLATES, *TEXTS)):
+        texts = [template_words(t) for t, _ in (*base, *templates)]
+        tokens = sorted({w for t in texts for w in t})
         number = {w: i for i, w in enumerate(tokens)}
         self.labels = [label for _, label in (*base, *templates)]
-        self.seqs = [[number[w] for w in t.split()] for t in texts]
+        self.seqs = [[number[w] for w in t] for t in texts]
         self.n_base = len(base)
         self.auto = Automaton(self.seqs)
         hashes = np.array([word_hash(w.encode()) for w in tokens], np.uint64)
@@ -157,7 +209,13 @@ class Scanner:
                     places.append((n, at + i + 1 - words_))
 
     def chains(self, matches: list) -> dict[int, tuple[float, int, int]]:
-        """Share of each template covered by its best chain of matches, and the chain's words in the text."""
+        """Share of each template covered by its best chain of matches, and the chain's words in the text.
+
+        matches: (template, from, to, word). In a chain, matches follow one
+        another in the text, at most MAX_GAP words apart, and in the template;
+        where two of them overlap in either, the later one counts from the end
+        of the earlier.
+        """
         best: dict[int, tuple[float, int, int]] = {}
         by: dict[int, list] = {}
         for n, a, b, w in matches:
@@ -167,8 +225,11 @@ class Scanner:
             open_: list[tuple[int, int, int, int]] = []  # end in text, end in template, covered, first word
             for w, a, b in own:
                 open_ = [c for c in open_ if w - c[0] <= MAX_GAP]
-                prior = max((c for c in open_ if c[0] <= w and c[1] <= a), key=lambda c: c[2], default=(w, a, 0, w))
-                chain = (w + b - a, b, prior[2] + b - a, prior[3])
+                chain = (w + b - a, b, b - a, w)
+                for end, to, covered, first in open_:
+                    late = max(0, end - w, to - a)  # words of this match that the chain has already
+                    if late < b - a and covered + b - a - late > chain[2]:
+                        chain = (w + b - a, b, covered + b - a - late, first)
                 open_.append(chain)
                 share = chain[2] / len(self.seqs[n])
                 if share > best.get(n, (0.0,))[0]:
@@ -203,7 +264,7 @@ def _scan(scanner):
     return run
 
 
-def scan(docs: DataFrame, base=BASE, templates=TEMPLATES) -> DataFrame:
+def scan(docs: DataFrame, base=BASE, templates=(*TEMPLATES, *TEXTS)) -> DataFrame:
     """Licence phrases and templates in every row of docs(doc_id, text).
 
     Returns doc_id, n_words, n_base (all places of base phrases), first_word
@@ -211,7 +272,7 @@ def scan(docs: DataFrame, base=BASE, templates=TEMPLATES) -> DataFrame:
     base_labels and labels (with those of covered templates; distinct,
     sorted, comma-joined), score (1 with a base phrase, else the largest
     covered share of a template) and spans (JSON list of label, first word,
-    end, share). Null texts are empty: no words, no labels, score 0. Rows
+    end, share). Null texts are empty: no words, no labels, score 0. Texts of any length are taken whole. Rows
     with the same doc_id or text are rows of their own. Other columns are
     ignored; an empty table gives an empty result.
     """
