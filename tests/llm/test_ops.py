@@ -417,18 +417,31 @@ def test_embeddings(spark):
     assert got == {i: (count[i], roots[i], roots[i] == i) for i, _, _ in data}
 
 
-def test_embedding_recall(spark):
-    """Recall against brute force over a table with many cells."""
-    df = spark.read.parquet("/root/testdata/check_s/embeddings.parquet") if __import__("os").path.isdir("/root/testdata/check_s") else None
-    if df is None:
-        pytest.skip("no table")
-    part = df.where("label in (0, 1)").toPandas()
-    total = 0
-    for _, g in part.groupby("label"):
-        x = np.stack(g["embedding"]).astype(float)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        total += int((x @ x.T >= 0.93).sum()) - len(x)
-    assert sum(r.n_links for r in embedding_dedup.link(df.where("label in (0, 1)")).collect()) >= 0.9 * total
+@pytest.mark.parametrize("most", [1024, 8])
+def test_embedding_recall(spark, monkeypatch, most):
+    """Recall of links against brute force over 40 cells and more, most links just above the threshold; also with cells of cells."""
+    monkeypatch.setattr(embedding_dedup, "MAX_CENTRES", most)
+    rng = np.random.default_rng(3)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    base = unit(rng.normal(size=(12000, 32)))
+    again = base[rng.integers(0, len(base), 9000)]
+    far = unit(rng.normal(size=again.shape))
+    cos = rng.uniform(0.925, 0.96, (len(again), 1))
+    far = unit(far - (far * again).sum(axis=1, keepdims=True) * again)
+    x = np.concatenate([base, cos * again + np.sqrt(1 - cos**2) * far])
+    true = {}
+    for lo in range(0, len(x), 2000):
+        i, j = np.nonzero(x[lo : lo + 2000] @ x.T >= 0.93)
+        for a, b in zip((lo + i).tolist(), j.tolist(), strict=True):
+            if a != b:
+                true.setdefault(a, set()).add(b)
+    df = spark.createDataFrame(([i, v, 4] for i, v in enumerate(x.tolist())), "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r for r in embedding_dedup.link(df).collect()}
+    total = sum(map(len, true.values()))
+    assert len(got) == len(x) and all(r.n_links <= len(true.get(i, ())) for i, r in got.items())
+    assert sum(r.n_links for r in got.values()) >= 0.9 * total > 9000
+    roots = closure(range(len(x)), [(a, b) for a, own in true.items() for b in own])
+    assert all(roots[i] == roots[r.component_id] for i, r in got.items()) and np.mean([r.component_id == roots[i] for i, r in got.items()]) >= 0.95
 
 
 def test_automaton():

@@ -2,15 +2,17 @@
 
 Vectors are scaled to length 1; equal ones (after scaling, per label) are one
 class with a count, so exact copies cost one row. For each label, centres are
-fitted by spherical k-means on a bounded sample (SAMPLE vectors of that
-label); their number follows the number of classes, so a cell has about CELL
-of them at any size of the table. Every class is put into its PROBE nearest
-cells, and all pairs of a cell with cosine >= THRESHOLD are found, in blocks:
-a cell is cut into blocks of BLOCK_ROWS and each pair of blocks is a task
-group of its own, so a cell with a third of all rows is spread over many
-tasks and no task holds more than two blocks. A pair that meets in several
-cells counts in the first cell that both share. Blocks send counts and a
-spanning forest of their links, not the pairs.
+fitted by spherical k-means on a bounded sample (SAMPLE vectors of that label);
+their number follows the number of classes, so a cell has about CELL of them at
+any size of the table. Where that would take more than MAX_CENTRES centres,
+cells are split again in the same way, each by centres fitted on a sample of its
+own, in as many levels as it takes. Every class is put into its PROBE nearest
+cells (NEXT_PROBE of each cell on later levels), and all pairs of a cell with
+cosine >= THRESHOLD are found, in blocks: a cell is cut into blocks of
+BLOCK_ROWS and each pair of blocks is a task group of its own, so a cell with a
+third of all rows is spread over many tasks and no task holds more than two
+blocks. A pair that meets in several cells counts in the first cell that both
+share. Blocks send counts and a spanning forest of their links, not the pairs.
 """
 
 from __future__ import annotations
@@ -24,10 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .exchange import stored
+from .exchange import hot_join, stored
 
 THRESHOLD = 0.93
-SAMPLE, CELL, PROBE, BLOCK_ROWS, ROUNDS, GROUP = 4096, 512, 3, 1024, 6, 4096
+SAMPLE, CELL, PROBE, NEXT_PROBE, BLOCK_ROWS, ROUNDS, GROUP = 4096, 512, 3, 2, 1024, 6, 4096
 MAX_CENTRES = 1024
 
 
@@ -68,29 +70,64 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
 
 
 def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Centres of one label, for each dimension that its sample has."""
-    out = []
-    for dim, own in pdf.groupby(pdf["unit"].str.len()):
-        x = np.stack([np.frombuffer(u) for u in own["unit"]])
-        k = int(min(MAX_CENTRES, max(1, -(-int(own["classes"].iloc[0]) // CELL)), len(x)))
-        out.append((int(own["label"].iloc[0]), int(dim) // 8, spherical_kmeans(x, k).tobytes()))
-    return pd.DataFrame(out, columns=["label", "dim", "centres"])
+    """Centres of one cell (of a label and dimension) from its sample; k is their number."""
+    first = pdf.iloc[0]
+    x = np.stack([np.frombuffer(u) for u in pdf["unit"]])
+    return pd.DataFrame([(first["label"], first["dim"], first["cell"], spherical_kmeans(x, int(first["k"])).tobytes())], columns=["label", "dim", "cell", "centres"])
 
 
-_PLACED = pa.schema([("class", pa.int64()), ("label", pa.int64()), ("dim", pa.int32()), ("unit", pa.binary()), ("copies", pa.int64()), ("cells", pa.list_(pa.int32()))])
+_PLACED = pa.schema([("class", pa.int64()), ("label", pa.int64()), ("dim", pa.int32()), ("unit", pa.binary()), ("copies", pa.int64()), ("cells", pa.list_(pa.int64()))])
 
 
-def _cells(classes: pa.Table, centres: pa.Table) -> pa.Table:
-    """The nearest cells of every class of a group, nearest first."""
-    if not classes.num_rows:
-        return _PLACED.empty_table()
-    units, cells = classes.column("unit").to_pylist(), []
-    dim = len(units[0]) // 8
-    c = np.frombuffer(centres.column("centres")[0].as_py()).reshape(-1, dim) if centres.num_rows else np.zeros((1, dim))
-    for lo in range(0, len(units), 2048):
-        x = np.stack([np.frombuffer(u) for u in units[lo : lo + 2048]])
-        cells += np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :PROBE].tolist()
-    return pa.table([*(classes.column(f.name).cast(f.type) for f in list(_PLACED)[:-1]), pa.array(cells, pa.list_(pa.int32()))], schema=_PLACED)
+def _assign(probe, most):
+    def run(classes: pa.Table, centres: pa.Table) -> pa.Table:
+        """The nearest cells of every class of a group of a cell, nearest first."""
+        if not classes.num_rows:
+            return _PLACED.empty_table()
+        units, cells = classes.column("unit").to_pylist(), []
+        dim, base = len(units[0]) // 8, classes.column("cell")[0].as_py() * most
+        c = np.frombuffer(centres.column("centres")[0].as_py()).reshape(-1, dim) if centres.num_rows else np.zeros((1, dim))
+        for lo in range(0, len(units), 2048):
+            x = np.stack([np.frombuffer(u) for u in units[lo : lo + 2048]])
+            cells += (base + np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :probe]).tolist()
+        return pa.table([*(classes.column(f.name).cast(f.type) for f in list(_PLACED)[:-1]), pa.array(cells, pa.list_(pa.int64()))], schema=_PLACED)
+
+    return run
+
+
+def _placed(classes: DataFrame) -> DataFrame:
+    """class, label, dim, unit, copies and cells of all classes: level after level until a cell has about CELL of them."""
+    cell, own = ["label", "dim", "cell"], ["class", "label", "dim", "unit", "copies"]
+    total = classes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("classes"))
+    levels = total.select("label", "dim", F.greatest(F.lit(1), F.ceil(F.log(F.col("classes") / CELL) / float(np.log(MAX_CENTRES)) - 1e-9)).cast("int").alias("levels"))
+    levels = stored(levels, "levels")
+    deepest = levels.agg(F.max("levels").alias("n")).first()["n"] or 1
+    now = classes.select(*own, F.lit(0).cast("long").alias("cell"))
+    done = None
+    for level in range(1, deepest + 1):
+        now = now.join(levels, ["label", "dim"])
+        left = F.col("levels") - (level - 1)
+        sizes = now.groupBy(*cell, "levels").agg(F.count(F.lit(1)).alias("n"))
+        k = F.least(F.lit(MAX_CENTRES), F.greatest(F.lit(1), F.ceil(F.pow(F.col("n") / CELL, 1 / left) - 1e-9))).cast("int")
+        sizes = stored(sizes.select(*cell, "n", k.alias("k"), F.ceil(F.col("n") / GROUP).cast("int").alias("salts")), "sizes")
+        drawn = now.join(sizes, cell).where(F.pmod(F.xxhash64("class", F.lit(level)), F.lit(1 << 20)) * F.col("n") < F.lit(SAMPLE << 20))
+        centres = drawn.select(*cell, "unit", "k").groupBy(*cell).applyInPandas(_fit, "label long, dim int, cell long, centres binary")
+        # The classes of a cell meet its centres in groups of about GROUP rows, so the centres travel once for each group.
+        rows = now.join(sizes, cell).withColumn("salt", F.pmod(F.xxhash64("class", F.lit(3)), F.col("salts")).cast("int")).select(*own, "cell", "salt")
+        nets = centres.join(sizes, cell).select(*cell, F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "centres")
+        keys = [*cell, "salt"]
+        probe = PROBE if level == 1 else NEXT_PROBE
+        kind = "class long, label long, dim int, unit binary, copies long, cells array<long>"
+        placed = stored(rows.groupBy(*keys).cogroup(nets.groupBy(*keys)).applyInArrow(_assign(probe, MAX_CENTRES), kind), "cells")
+        if deepest == 1:
+            return placed
+        placed = placed.join(levels, ["label", "dim"])
+        ready = placed.where(F.col("levels") == level).select(*own, "cells")
+        done = ready if done is None else done.unionByName(ready)
+        now = placed.where(F.col("levels") > level).select(*own, F.explode("cells").alias("cell"))
+    # A class of a label with several levels has come in parts, one for each cell of the level before.
+    each = done.groupBy("class").agg(*(F.first(c).alias(c) for c in own[1:]), F.array_sort(F.array_distinct(F.flatten(F.collect_list("cells")))).alias("cells"))
+    return stored(each, "cells")
 
 
 class _Forest:
@@ -120,8 +157,9 @@ def _compare(threshold):
         cell = table.column("cell")[0].as_py()
         key, copies = table.column("class").to_numpy(), table.column("copies").to_numpy()
         x = np.stack([np.frombuffer(u) for u in table.column("unit").to_pylist()])
-        cells = np.full((len(x), PROBE), -1)
-        for i, c in enumerate(table.column("cells").to_pylist()):
+        lists = table.column("cells").to_pylist()
+        cells = np.full((len(x), max(map(len, lists))), -1, np.int64)
+        for i, c in enumerate(lists):
             cells[i, : len(c)] = c
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == (0 if same else 1))
         count = np.zeros(len(x), np.int64)
@@ -168,17 +206,7 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     classes = units.where("class is not null").groupBy("class").agg(F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("copies"), F.first("label").alias("label"), F.first("unit").alias("unit"))
     classes = stored(classes.withColumn("dim", F.expr("cast(octet_length(unit) / 8 as int)")), "classes")
 
-    total = classes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("classes"))
-    drawn = classes.join(total, ["label", "dim"]).where(F.pmod(F.xxhash64("class"), F.lit(1 << 20)) * F.col("classes") < F.lit(SAMPLE << 20))
-    centres = drawn.select(F.col("label"), "unit", "classes").groupBy("label").applyInPandas(_fit, "label long, dim int, centres binary")
-    # A label's classes meet its centres in groups of about GROUP rows, so the centres travel once for each group.
-    salts = total.withColumn("salts", F.ceil(F.col("classes") / GROUP).cast("int")).select("label", "dim", "salts")
-    keys = ["label", "dim", "salt"]
-    rows = classes.join(salts, ["label", "dim"]).withColumn("salt", F.pmod(F.xxhash64("class", F.lit(3)), F.col("salts")).cast("int")).select(*keys, "class", "unit", "copies")
-    nets = centres.join(salts, ["label", "dim"]).select("label", "dim", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "centres")
-    placed = rows.groupBy(*keys).cogroup(nets.groupBy(*keys)).applyInArrow(_cells, "class long, label long, dim int, unit binary, copies long, cells array<int>")
-    placed = stored(placed, "cells")
-
+    placed = _placed(classes)
     member = placed.select("class", "label", "dim", "copies", "unit", "cells", F.explode("cells").alias("cell"))
     cell = ["label", "dim", "cell"]
     sized = member.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
@@ -192,7 +220,7 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     named = roots.join(low, "root").select(F.col("node").alias("class"), "component")
     links = found.where("n > 0").groupBy(F.col("u").alias("class")).agg(F.sum("n").alias("links"))
     every = classes.select("class", "low", "copies").join(links, "class", "left").join(named, "class", "left")
-    every = every.select("class", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "low").alias("component_id"))
-    out = units.select("vec_id", "class").join(every, "class", "left")
+    every = stored(every.select("class", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "low").alias("component_id")), "classes")
+    out = hot_join(units.select("vec_id", "class"), every, "class")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
