@@ -172,6 +172,54 @@ def test_suffix_dedup(spark, rows):
             assert left[i] == t if i not in want else left[i].encode().lower().split() == rest
 
 
+def test_suffix_dedup_of_hot_anchors(spark, monkeypatch):
+    """A passage in most texts, its anchors dealt to many tasks, is found in all of them but the first."""
+    monkeypatch.setattr(suffix_dedup, "HOT", 3)
+    rng = random.Random(2)
+    word = lambda: f"v{rng.randrange(3000)}"
+    passage = [word() for _ in range(90)]
+    rows = []
+    for i in range(40):
+        own = [word() for _ in range(rng.randint(0, 60))]
+        part = passage[rng.randint(0, 25) : rng.randint(70, 90)] if i % 4 else []
+        rows.append((i, " ".join([*own, *part, *(word() for _ in range(rng.randint(0, 60)))])))
+    seen, want = set(), {}
+    words = {i: t.split() for i, t in rows}
+    for i, w in words.items():
+        windows = [tuple(w[j : j + 50]) for j in range(len(w) - 49)]
+        hit = {x for j, k in enumerate(windows) if k in seen for x in range(j, j + 50)}
+        seen.update(windows)
+        if hit:
+            want[i] = hit
+    got = collections.defaultdict(set)
+    for r in suffix_dedup.repeats(frame(spark, rows)).collect():
+        got[r.doc_id].update(range(r.start_word, r.start_word + r.n_words))
+        assert r.first_doc_id < r.doc_id and words[r.doc_id][r.start_word : r.start_word + r.n_words] == words[r.first_doc_id][r.first_word : r.first_word + r.n_words]
+    assert dict(got) == want and len(want) > 20
+
+
+def test_suffix_dedup_within_documents(spark):
+    """Repeats of a document's own words count on request, where the two places do not overlap."""
+    p, q = (" ".join(f"{c}{i}" for i in range(60)) for c in "pq")
+    rows = [(1, f"{p} x {q} y {p}"), (2, "z " * 120), (3, q)]
+    got = sorted(map(tuple, suffix_dedup.repeats(frame(spark, rows), within=True).collect()))
+    assert (1, 122, 60, 1, 0) in got and (3, 0, 60, 1, 61) in got
+    assert {x for r in got if r[0] == 2 for x in range(r[1], r[1] + r[2])} == set(range(50, 120))
+    assert sorted(map(tuple, suffix_dedup.repeats(frame(spark, rows)).collect())) == [(3, 0, 60, 1, 61)]
+
+
+def test_order_and_lcp():
+    """The two orders against sorting and comparing the words themselves."""
+    rng = np.random.default_rng(5)
+    key, beyond = rng.integers(0, 3, 200).astype(np.uint64), rng.integers(1, 3, (200, 6)).astype(np.uint64)
+    order, lcp = suffix_dedup.order_and_lcp(key, beyond)
+    rows = [(int(key[i]), *beyond[i].tolist()) for i in order]
+    assert rows == sorted(rows) and lcp[0] == -1
+    for a, b, n in zip(rows, rows[1:], lcp[1:].tolist(), strict=False):
+        same = next((j for j in range(7) if a[j] != b[j]), 7)
+        assert n == same - 1
+
+
 def test_suffix_dedup_of_texts_that_share_an_id(spark):
     """Each row loses what its own text repeats, not what another text of the same doc_id does."""
     passage, other = (" ".join(f"{c}{i}" for i in range(60)) for c in "pq")
