@@ -358,14 +358,15 @@ def test_token_store(spark, rows):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    got = sorted(map(tuple, token_store.round_trip(frame(spark, rows), path).collect()))
-    start, want = 0, []
-    for i, text in sorted(rows, key=lambda r: r[0]):
-        ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
-        want.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
-        start += len(ids)
-    assert got == want
+    for special in (False, True):
+        t.encode_special_tokens = special
+        got = sorted(map(tuple, token_store.round_trip(frame(spark, rows), path, special).collect()))
+        start, want = 0, []
+        for i, text in sorted(rows, key=lambda r: r[0]):
+            ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
+            want.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
+            start += len(ids)
+        assert got == want
 
 
 def test_token_store_reads_added_tokens(spark, rows, tmp_path):
@@ -400,6 +401,30 @@ def test_wavelet_matrix():
         assert w.count(60000) == int((ids == 60000).sum())
 
 
+def test_shard_file_reads_parts(tmp_path):
+    """Look-ups in a file agree with the sequence and read a small part of it."""
+    rng = np.random.default_rng(1)
+    ids = rng.zipf(1.3, 2_000_000) % 50000
+    path = token_store.put_file(str(tmp_path), "s", token_store.to_bytes(np.array([9]), np.array([len(ids)]), ids))
+    whole = token_store.get_file(path)
+    read = []
+
+    class Counted(token_store._Bytes):
+        def read_at(self, size, offset):
+            read.append(size)
+            return super().read_at(size, offset)
+
+    f = token_store.ShardFile(Counted(whole))
+    for i in (0, 777_777, len(ids) - 1):
+        v = int(ids[i])
+        assert f.access(i) == v and f.count(v, i) == int((ids[:i] == v).sum())
+    assert sum(read) < len(whole) / 2
+    rare = int(np.flatnonzero(np.bincount(ids) == 2)[0])
+    again = token_store.ShardFile(path)
+    assert again.occurrences(rare) == np.flatnonzero(ids == rare).tolist() and again.count(49999) == int((ids == 49999).sum())
+    assert again.doc_ids.tolist() == [9] and again.ends.tolist() == [len(ids)] and np.array_equal(again.matrix().all(), ids)
+
+
 def test_sharding(spark, rows):
     data = [*rows, (rows[0][0], rows[0][1])]
     got = sharding.assign(frame(spark, data)).collect()

@@ -1,12 +1,15 @@
 """Token ids in binary shard files: one wavelet matrix for each shard.
 
-File: magic, then a JSON header with its length, then sections compressed
-with zstd. Sections: doc ids (int64), the end of each document's ids
-(int64), and for every bit from the highest down one plane: its bits in the
-order of the matrix (8 in a byte, lowest first). The header has the number
-of zeros of each plane and the rank of every 512 bits is rebuilt on opening.
-Ids come back by access, by rank and select (counting, occurrences), or all
-at once by undoing the stable partitions plane by plane.
+File: magic, the length of a JSON header, the header, then sections. Sections:
+doc ids (int64), the end of each document's ids (int64), the directory, and for
+every bit from the highest down one plane: its bits in the order of the matrix
+(8 in a byte, lowest first), cut into blocks of BLOCK_BYTES. All sections and
+blocks are compressed with zstd, each by itself. The directory has the number of
+ones before each block of each plane and where the block begins, so one rank
+reads one block. The header has the number of zeros of each plane.
+Ids come back by access, by rank and select (counting, occurrences), which read
+the directory and the blocks that they touch (`ShardFile`), or all at once by
+undoing the stable partitions plane by plane (`from_bytes`).
 """
 
 from __future__ import annotations
@@ -28,69 +31,35 @@ from . import pretokens
 from .exchange import new_path, parts, stored
 from .hashindex import HashIndex, Lists
 
-MAGIC = b"TMWM0001"
+MAGIC = b"TMWM0002"
 END_ID = 2
 SHARD_IDS = 1 << 21  # a shard is closed by the document that brings it to this many ids
 CHARS = 1 << 20  # characters encoded at a time
 KNOWN_WORDS = 1 << 20  # distinct words a worker remembers
 _STEP = 512
+BLOCK_BYTES = 1 << 15  # bytes of a plane that are compressed together
 
 
-class WaveletMatrix:
-    """A sequence of non-negative integers below 2**bits as succinct bit planes."""
+class _Queries:
+    """Token access, counting and occurrence lookup from bits and ranks of planes."""
 
-    def __init__(self, n: int, bits: int, zeros: list[int], planes: list[np.ndarray]):
-        self.n, self.bits, self.zeros, self.planes = n, bits, zeros, planes
+    n: int
+    bits: int
+    zeros: list[int]
 
-    @classmethod
-    def build(cls, ids: np.ndarray) -> WaveletMatrix:
-        top = int(ids.max()) if len(ids) else 0
-        bits = max(1, top.bit_length())
-        cur = ids.astype(np.uint16 if bits <= 16 else np.uint32)
-        zeros, planes = [], []
-        for bit in range(bits - 1, -1, -1):
-            one = (cur & cur.dtype.type(1 << bit)) != 0
-            planes.append(np.packbits(one, bitorder="little"))
-            low = cur[~one]
-            zeros.append(len(low))
-            cur = np.concatenate([low, cur[one]])
-        return cls(len(ids), bits, zeros, planes)
-
-    def all(self) -> np.ndarray:
-        """The whole sequence."""
-        kind = np.uint16 if self.bits <= 16 else np.uint32
-        cur = np.zeros(self.n, kind)
-        for level in range(self.bits - 1, -1, -1):
-            one = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
-            z = self.zeros[level]
-            up = np.empty(self.n, kind)
-            up[~one] = cur[:z]
-            up[one] = cur[z:] | kind(1 << (self.bits - 1 - level))
-            cur = up
-        return cur
-
-    @functools.cached_property
-    def _ranks(self) -> list[np.ndarray]:
-        out = []
-        for p in self.planes:
-            full = np.zeros(-(-len(p) // (_STEP // 8)) * (_STEP // 8), np.uint8)
-            full[: len(p)] = p
-            out.append(np.r_[0, np.cumsum(np.bitwise_count(full).reshape(-1, _STEP // 8).sum(axis=1, dtype=np.int64))])
-        return out
+    def _bit(self, level: int, i: int) -> int:
+        raise NotImplementedError
 
     def _rank1(self, level: int, i: int) -> int:
         """Ones among the first i bits of a plane."""
-        block = i // _STEP
-        a, plane = block * (_STEP // 8), self.planes[level]
-        n = int(self._ranks[level][block]) + int(np.bitwise_count(plane[a : i // 8]).sum())
-        return n + (int(plane[i // 8]) & (1 << i % 8) - 1).bit_count() if i % 8 else n
+        raise NotImplementedError
 
     def access(self, i: int) -> int:
         if not 0 <= i < self.n:
             raise IndexError(i)
         v = 0
         for level in range(self.bits):
-            one = int(self.planes[level][i // 8]) >> i % 8 & 1
+            one = self._bit(level, i)
             r = self._rank1(level, i)
             i = self.zeros[level] + r if one else i - r
             v = v << 1 | one
@@ -137,27 +106,148 @@ class WaveletMatrix:
         return [self.select(value, k) for k in range(self.count(value))]
 
 
+def _ones_before(block: np.ndarray, i: int) -> int:
+    """Ones among the first i bits of some bytes."""
+    n = int(np.bitwise_count(block[: i // 8]).sum())
+    return n + (int(block[i // 8]) & (1 << i % 8) - 1).bit_count() if i % 8 else n
+
+
+class WaveletMatrix(_Queries):
+    """A sequence of non-negative integers below 2**bits as succinct bit planes in memory."""
+
+    def __init__(self, n: int, bits: int, zeros: list[int], planes: list[np.ndarray]):
+        self.n, self.bits, self.zeros, self.planes = n, bits, zeros, planes
+
+    @classmethod
+    def build(cls, ids: np.ndarray) -> WaveletMatrix:
+        top = int(ids.max()) if len(ids) else 0
+        bits = max(1, top.bit_length())
+        cur = ids.astype(np.uint16 if bits <= 16 else np.uint32)
+        zeros, planes = [], []
+        for bit in range(bits - 1, -1, -1):
+            one = (cur & cur.dtype.type(1 << bit)) != 0
+            planes.append(np.packbits(one, bitorder="little"))
+            low = cur[~one]
+            zeros.append(len(low))
+            cur = np.concatenate([low, cur[one]])
+        return cls(len(ids), bits, zeros, planes)
+
+    def all(self) -> np.ndarray:
+        """The whole sequence."""
+        kind = np.uint16 if self.bits <= 16 else np.uint32
+        cur = np.zeros(self.n, kind)
+        for level in range(self.bits - 1, -1, -1):
+            one = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
+            z = self.zeros[level]
+            up = np.empty(self.n, kind)
+            up[~one] = cur[:z]
+            up[one] = cur[z:] | kind(1 << (self.bits - 1 - level))
+            cur = up
+        return cur
+
+    def ranks(self, step: int) -> np.ndarray:
+        """Ones before every `step` bytes of each plane, and in all: one row for each plane."""
+        out = []
+        for p in self.planes:
+            full = np.zeros(-(-len(p) // step) * step, np.uint8)
+            full[: len(p)] = p
+            out.append(np.r_[0, np.cumsum(np.bitwise_count(full).reshape(-1, step).sum(axis=1, dtype=np.int64))])
+        return np.stack(out)
+
+    @functools.cached_property
+    def _ranks(self) -> np.ndarray:
+        return self.ranks(_STEP // 8)
+
+    def _bit(self, level: int, i: int) -> int:
+        return int(self.planes[level][i // 8]) >> i % 8 & 1
+
+    def _rank1(self, level: int, i: int) -> int:
+        block = i // _STEP
+        a = block * (_STEP // 8)
+        return int(self._ranks[level][block]) + _ones_before(self.planes[level][a : a + _STEP // 8], i - block * _STEP)
+
+
 def to_bytes(doc_ids: np.ndarray, ends: np.ndarray, ids: np.ndarray) -> bytes:
     """One shard: doc_ids[i] has ids[ends[i - 1]:ends[i]]."""
     matrix = WaveletMatrix.build(ids)
     codec = pa.Codec("zstd", compression_level=1)
-    raw = [doc_ids.astype("<i8").tobytes(), ends.astype("<i8").tobytes(), *(p.tobytes() for p in matrix.planes)]
-    packed = [codec.compress(x, asbytes=True) for x in raw]
-    head = json.dumps({"n": matrix.n, "bits": matrix.bits, "zeros": matrix.zeros, "sizes": [[len(a), len(b)] for a, b in zip(raw, packed, strict=True)]}).encode()
-    return b"".join([MAGIC, len(head).to_bytes(4, "little"), head, *packed])
+    pack = lambda x: codec.compress(x, asbytes=True) if len(x) else b""
+    cut = [pack(p[a : a + BLOCK_BYTES].tobytes()) for p in matrix.planes for a in range(0, len(p), BLOCK_BYTES)]
+    begin = np.r_[0, np.cumsum([len(x) for x in cut])].astype("<i8")
+    raw = [doc_ids.astype("<i8").tobytes(), ends.astype("<i8").tobytes(), matrix.ranks(BLOCK_BYTES).astype("<i8").tobytes() + begin.tobytes()]
+    packed = [pack(x) for x in raw]
+    head = json.dumps({"n": matrix.n, "bits": matrix.bits, "zeros": matrix.zeros, "block": BLOCK_BYTES, "sizes": [[len(a), len(b)] for a, b in zip(raw, packed, strict=True)]}).encode()
+    return b"".join([MAGIC, len(head).to_bytes(4, "little"), head, *packed, *cut])
+
+
+class ShardFile(_Queries):
+    """A shard file opened for single look-ups: reads its header and directory, and later only blocks that are asked for."""
+
+    def __init__(self, source, blocks_held: int = 64):
+        """source: a path, or anything with read_at(size, offset), as Arrow's random-access files have."""
+        if isinstance(source, str):
+            fs, inner = _file_system(source)
+            source = fs.open_input_file(inner)
+        self._source, self._codec = source, pa.Codec("zstd")
+        start = source.read_at(12, 0)
+        if start[:8] != MAGIC:
+            raise ValueError("not a token shard")
+        size = int.from_bytes(start[8:12], "little")
+        head = json.loads(source.read_at(size, 12))
+        self.n, self.bits, self.zeros, self._block, self._sizes = head["n"], head["bits"], head["zeros"], head["block"], head["sizes"]
+        self._sections = np.r_[12 + size, 12 + size + np.cumsum([x for _, x in self._sizes])]
+        plane = -(-self.n // 8)
+        self._per_plane = -(-plane // self._block)
+        self._last = plane - (self._per_plane - 1) * self._block if plane else 0
+        directory = np.frombuffer(self._section(2), "<i8")
+        self._ones = directory[: self.bits * (self._per_plane + 1)].reshape(self.bits, -1)
+        self._begin = directory[self.bits * (self._per_plane + 1) :]
+        self._load = functools.lru_cache(blocks_held)(self._read_block)
+
+    def _section(self, i: int) -> bytes:
+        plain, packed = self._sizes[i]
+        return self._codec.decompress(self._source.read_at(packed, int(self._sections[i])), plain, asbytes=True) if plain else b""
+
+    @functools.cached_property
+    def doc_ids(self) -> np.ndarray:
+        return np.frombuffer(self._section(0), "<i8")
+
+    @functools.cached_property
+    def ends(self) -> np.ndarray:
+        return np.frombuffer(self._section(1), "<i8")
+
+    def _read_block(self, level: int, block: int) -> np.ndarray:
+        i = level * self._per_plane + block
+        a, b = int(self._begin[i]), int(self._begin[i + 1])
+        plain = self._last if block == self._per_plane - 1 else self._block
+        return np.frombuffer(self._codec.decompress(self._source.read_at(b - a, int(self._sections[-1]) + a), plain, asbytes=True), np.uint8)
+
+    def _bit(self, level: int, i: int) -> int:
+        return int(self._load(level, i // 8 // self._block)[i // 8 % self._block]) >> i % 8 & 1
+
+    def _rank1(self, level: int, i: int) -> int:
+        block, inside = divmod(i, self._block * 8)
+        n = int(self._ones[level][block])
+        return n + _ones_before(self._load(level, block), inside) if inside else n
+
+    def matrix(self) -> WaveletMatrix:
+        """All planes, in memory."""
+        planes = [np.concatenate([self._read_block(level, b) for b in range(self._per_plane)] or [np.zeros(0, np.uint8)]) for level in range(self.bits)]
+        return WaveletMatrix(self.n, self.bits, self.zeros, planes)
+
+
+class _Bytes:
+    def __init__(self, data: bytes):
+        self.data = data
+
+    def read_at(self, size: int, offset: int) -> bytes:
+        return self.data[offset : offset + size]
 
 
 def from_bytes(data: bytes) -> tuple[np.ndarray, np.ndarray, WaveletMatrix]:
-    if data[:8] != MAGIC:
-        raise ValueError("not a token shard")
-    size = int.from_bytes(data[8:12], "little")
-    head = json.loads(data[12 : 12 + size])
-    at, got, codec = 12 + size, [], pa.Codec("zstd")
-    for plain, packed in head["sizes"]:
-        got.append(codec.decompress(data[at : at + packed], plain, asbytes=True) if plain else b"")
-        at += packed
-    doc_ids, ends = (np.frombuffer(x, "<i8") for x in got[:2])
-    return doc_ids, ends, WaveletMatrix(head["n"], head["bits"], head["zeros"], [np.frombuffer(x, np.uint8) for x in got[2:]])
+    """Doc ids, ends and the matrix of a whole file."""
+    f = ShardFile(_Bytes(data))
+    return f.doc_ids, f.ends, f.matrix()
 
 
 def _file_system(path: str):
@@ -191,7 +281,7 @@ def _byte_letters() -> list[str]:
 class WordEncoder:
     """Ids of whole texts: each distinct pre-token is encoded once by the tokenizers library."""
 
-    def __init__(self, path: str, encode_special_tokens: bool = True):
+    def __init__(self, path: str, encode_special_tokens: bool = False):
         from tokenizers import Tokenizer
 
         whole = Tokenizer.from_file(path)
@@ -255,7 +345,7 @@ class WordEncoder:
 _ENCODERS: dict[tuple[str, bool], WordEncoder] = {}
 
 
-def encoder(path: str, encode_special_tokens: bool = True) -> WordEncoder:
+def encoder(path: str, encode_special_tokens: bool = False) -> WordEncoder:
     key = path, encode_special_tokens
     if key not in _ENCODERS:
         _ENCODERS[key] = WordEncoder(*key)
@@ -311,7 +401,7 @@ def _write(folder, vocabulary, end_id, shard_ids, encode_special_tokens):
     return run
 
 
-def write_shards(docs: DataFrame, folder: str, vocabulary: str, end_id: int = END_ID, shard_ids: int = SHARD_IDS, encode_special_tokens: bool = True) -> DataFrame:
+def write_shards(docs: DataFrame, folder: str, vocabulary: str, end_id: int = END_ID, shard_ids: int = SHARD_IDS, encode_special_tokens: bool = False) -> DataFrame:
     """Encodes docs(doc_id, text) into shard files under folder; returns their stored manifest.
 
     Documents are in ascending doc_id order over (part, seq) and within a
@@ -319,7 +409,8 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str, end_id: int = EN
     ordered by text hash. Null texts are empty and hold only the end id. An
     empty table writes no file. encode_special_tokens is the library's own
     setting: whether special tokens that stand in a text are encoded as any
-    other characters (the library's default is False).
+    other characters. Texts of any length are taken whole; other columns are
+    ignored.
     """
     spark = docs.sparkSession
     cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -342,7 +433,10 @@ _DIGEST = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens",
 def _digests(batches):
     for b in batches:
         for path, start in zip(b.column("path").to_pylist(), b.column("start").to_pylist(), strict=True):
-            doc_ids, ends, matrix = from_bytes(get_file(path))
+            file = ShardFile(_Bytes(get_file(path)))
+            doc_ids, ends, matrix = file.doc_ids, file.ends, file.matrix()
+            if len(ends) and file.access(int(ends[-1]) - 1) != matrix.access(int(ends[-1]) - 1):
+                raise ValueError(f"the directory of {path} is damaged")
             ids = memoryview(matrix.all().astype("<u4")).cast("B")
             begins = np.r_[0, ends[:-1]]
             crc = [zlib.crc32(ids[4 * a : 4 * e]) for a, e in zip(begins.tolist(), ends.tolist(), strict=True)]
@@ -356,7 +450,7 @@ def read_digests(manifest: DataFrame) -> DataFrame:
     return with_starts(manifest).repartition(parts(spark)).mapInArrow(_digests, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def round_trip(docs: DataFrame, vocabulary: str, encode_special_tokens: bool = True) -> DataFrame:
+def round_trip(docs: DataFrame, vocabulary: str, encode_special_tokens: bool = False) -> DataFrame:
     """Writes docs into shards in the shared folder and returns what reading them back gives; options as in `write_shards`."""
     spark: SparkSession = docs.sparkSession
     return read_digests(write_shards(docs, new_path(spark, "tokens"), vocabulary, encode_special_tokens=encode_special_tokens))
