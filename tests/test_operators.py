@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as T
 from tidemark.operators import book as B
 from tidemark.operators import frames, narratives, outcomes, topics
+from tidemark.operators import corridors as C
 from tidemark.operators import portfolio as P
 from tidemark.operators import volatility as V
 from tidemark.sources import archives, upsert
@@ -61,38 +62,99 @@ def test_filled_limit(spark):
     assert got == {days(0)[0]: 0.0, days(1)[0]: 0.0, days(2)[0]: 1.0, days(3)[0]: 1.0, days(4)[0]: 1.0, days(5)[0]: 1.0, days(7)[0]: 2.0}
 
 
+def priced(spark, *paths):
+    rows = [(chr(97 + n), d, float(x)) for n, p in enumerate(paths) for d, x in zip(days(*range(len(p))), p, strict=True)]
+    return C.volatility(spark.createDataFrame(rows, "symbol string, d date, close double"))
+
+
+def walk(seed, n):
+    return np.exp(np.cumsum(np.random.default_rng(seed).normal(0, 0.02, n)))
+
+
+def test_volatility_against_recurrence(spark):
+    p = walk(2, 120)
+    got = [r.sig for r in priced(spark, p).orderBy("i").collect()]
+    r, want = np.diff(np.log(p)), [None] * 31
+    v = float(np.var(r[:30]))
+    for x in r[30:]:
+        v = 0.94 * v + 0.06 * x * x
+        want.append(math.sqrt(v))
+    assert got[:31] == want[:31] and got[31:] == pytest.approx(want[31:])
+
+
 def test_no_lookahead(spark):
     """Changing values after a day leaves results up to that day as they were."""
-    rng = np.random.default_rng(0)
-    p = np.exp(np.cumsum(rng.normal(0, 0.02, 700)))
+    p = walk(0, 700)
     q = p.copy()
     q[600:] *= 3
-    for method in ("gauss_ewma", "fhs", "raw_emp"):
-        a, b = (V.bands(x, V.ewma(V.log_returns(x)), 7, 0.8, method) for x in (p, q))
-        assert np.array_equal(a[0][:600], b[0][:600], equal_nan=True)
-    a, b = (V.conditional_bands(x, V.ewma(V.log_returns(x)), 7, 0.8, 100) for x in (p, q))
-    assert np.array_equal(a[1][:600], b[1][:600], equal_nan=True)
-
-
-def test_bands_against_numpy():
-    rng = np.random.default_rng(1)
-    p = np.exp(np.cumsum(rng.normal(0, 0.02, 450)))
-    sig, h = V.ewma(V.log_returns(p)), 7
-    lo, hi = V.bands(p, sig, h, 0.8, "fhs")
-    z = V.ahead(p, h) / (sig * math.sqrt(h))
-    for t in (420, 449):
-        past = z[: t - h + 1]
-        q = np.quantile(past[np.isfinite(past)], [0.1, 0.9]) * sig[t] * math.sqrt(h)
-        assert (lo[t], hi[t]) == pytest.approx(tuple(q))
+    for make in (lambda v: C.bands(v, 7, (0.8,)), lambda v: C.conditional_bands(v, 7, (0.8,), 100).withColumn("method", F.lit("c"))):
+        a, b = ({(r["method"], r["i"]): (r["lo"], r["hi"]) for r in make(priced(spark, x)).where("i < 600").collect()} for x in (p, q))
+        assert a == b and sum(x[0] is not None for x in a.values()) > 200
 
 
-def test_statistics():
-    assert V.kupiec(100, 10, 0.10) == pytest.approx(1.0) and V.kupiec(100, 25, 0.10) < 0.001 and math.isnan(V.kupiec(0, 0, 0.1))
-    assert V.mcnemar(0, 0) == 1.0 and V.mcnemar(5, 0) == pytest.approx(1 / 32)
+def test_bands_against_numpy(spark):
+    p, h = walk(1, 450), 7
+    rows = {r["i"]: r for r in C.bands(priced(spark, p), h, (0.8,), ("fhs",)).collect()}
+    out = {t: math.log(p[t + h] / p[t]) for t in range(len(p) - h)}
+    for t in (420, 449):
+        past = [out[s] / (rows[s]["sig"] * math.sqrt(h)) for s in range(31, t - h + 1)]
+        assert (rows[t]["lo"], rows[t]["hi"]) == pytest.approx(tuple(np.quantile(past, [0.1, 0.9]) * rows[t]["sig"] * math.sqrt(h)))
+    assert rows[31 + 365 + h - 2]["lo"] is None and rows[31 + 365 + h - 1]["lo"] is not None
+
+
+def test_conditional_pools_against_numpy(spark):
+    p, h, least = walk(5, 400), 5, 40
+    rows = sorted(C.conditional_bands(priced(spark, p), h, (0.5,), least).collect(), key=lambda r: r["i"])
+    sig = {r["i"]: r["sig"] for r in rows if r["sig"] is not None}
+    kind = {t: min(2, int(3 * np.mean([sig[s] < sig[t] for s in sig if s <= t]))) for t in sig}
+    z = {s: math.log(p[s + h] / p[s]) / (sig[s] * math.sqrt(h)) for s in sig if s + h < len(p)}
+    for t in range(31, 400, 23):
+        every = [z[s] for s in z if s <= t - h]
+        own = [z[s] for s in z if s <= t - h and kind[s] == kind[t]]
+        pool = own if len(own) >= least else every
+        if len(every) < least:
+            assert rows[t]["lo"] is None
+        else:
+            assert (rows[t]["lo"], rows[t]["hi"]) == pytest.approx(tuple(np.quantile(pool, [0.25, 0.75]) * sig[t] * math.sqrt(h)))
+
+
+def test_statistics(spark):
+    one = spark.range(1)
+    value = lambda c: one.select(c).first()[0]
+    k = lambda n, x, p: value(C.kupiec(F.lit(n), F.lit(x), F.lit(p)))
+    assert k(100, 10, 0.10) == pytest.approx(1.0) and k(100, 25, 0.10) < 0.001 and k(0, 0, 0.1) is None and k(50, 0, 0.1) == pytest.approx(math.erfc(math.sqrt(-50 * math.log(0.9))))
+    for s in (0.0, 0.3, 1.1, 2.7):
+        assert value(C.upper_tail(F.lit(s))) == pytest.approx(math.erfc(s), abs=1e-9)
+    for b, c in ((0, 0), (5, 0), (0, 4), (7, 3)):
+        want = sum(math.comb(b + c, j) for j in range(b, b + c + 1)) / 2 ** (b + c)
+        assert value(C.mcnemar(F.lit(b), F.lit(c))) == pytest.approx(want)
     assert V.spearman(np.array([1, 2, 2, 3.0]), np.array([1, 2, 2, 3.0])) == pytest.approx(1.0)
-    assert V.total_variance(np.array([10.0, 40.0]), np.array([50.0, 60.0]), 5) == pytest.approx(0.5)
-    a, b, level = V.garch_fit(np.random.default_rng(0).normal(0, 0.01, 500))
-    assert 0 < a < 0.35 and 0 < b < 1 and a + b < 1 and level == pytest.approx(1e-4, rel=0.2)
+    got = {r.term: r.iv for r in V.term_structure(spark.createDataFrame([(10, 50.0), (40, 60.0)], "days int, iv double"), (5, 10, 25, 90)).collect()}
+    assert got[5] == 0.5 and got[10] == 0.5 and got[90] == 0.6 and got[25] == pytest.approx(math.sqrt((0.25 * 10 + (0.36 * 40 - 0.25 * 10) / 2) / 25))
+
+
+def test_reverting_variance(spark):
+    """The fold over arrays equals the plain recurrence, and the fit prefers the pair that made the data."""
+    vol = C.reverting(C.trailing_level(priced(spark, walk(7, 500)), 100), 0.1, 0.85)
+    rows = vol.orderBy("i").collect()
+    r, level = (np.array([x[c] if x[c] is not None else np.nan for x in rows], float) for c in ("r", "level_now"))
+    assert np.allclose(V.reverting_variance(r, level, 0.1, 0.85), [x["v"] if x["v"] is not None else np.nan for x in rows], equal_nan=True)
+    assert np.allclose(V.reverting_variance(r, level, [0.1, 0.2], [0.85, 0.7])[:, 0], V.reverting_variance(r, level, 0.1, 0.85), equal_nan=True)
+    rng, x, v = np.random.default_rng(0), [], 1e-4
+    for _ in range(3000):
+        x.append(math.sqrt(v) * rng.normal())
+        v = 0.05 * 1e-4 + 0.15 * x[-1] ** 2 + 0.80 * v
+    a, b = V.fit_reverting(np.array(x), np.full(3000, 1e-4), 2999)
+    assert a == pytest.approx(0.15, abs=0.06) and b == pytest.approx(0.80, abs=0.08)
+    assert V.fit_reverting(np.array(x[:50]), np.full(50, 1e-4), 49) is None
+    assert V.term_variance(2.0, 0.1, 0.8, 1.0, 1) == pytest.approx(2.0) and V.term_variance(2.0, 0.1, 0.8, 1.0, 400) == pytest.approx(410, rel=1e-3)
+
+
+def test_blocks():
+    at = V.block_rows(100, 30, 5, 1)
+    assert at.shape == (5, 100) and all((np.diff(x)[np.arange(99) % 30 != 29] == 1).all() for x in at)
+    sums = np.array([[2.0, 0.0, 1.0], [1.0, 0.0, 1.0], [2.0, 0.0, 1.0]])
+    assert V.joint_gain(sums, 3, 4, 0.9) == pytest.approx([abs(2 / 3 - 0.9) - 0.1] * 4)
 
 
 def test_priors_need_five(spark):

@@ -74,6 +74,17 @@ def forward_full(value: Column, rows: int, w, agg=F.max) -> Column:
     return F.when(F.count(value).over(frame) == rows, agg(value).over(frame))
 
 
+def trailing_median(value: Column, n: int, w) -> tuple[Column, Column, Column]:
+    """Median of the n rows before the present one, the median distance from it, and how many values there are."""
+    frame = w.rowsBetween(-n, -1)
+    past, middle = F.collect_list(value).over(frame), F.percentile(value, 0.5).over(frame)
+    gaps = F.array_sort(F.transform(past, lambda v: F.abs(v - middle)))
+    size = F.size(gaps)
+    half = F.floor((size + 1) / 2).cast("int")
+    mad = F.when(size > 0, (F.element_at(gaps, half) + F.element_at(gaps, F.floor(size / 2).cast("int") + 1)) / 2)
+    return middle, mad, size
+
+
 def refractory(df: DataFrame, by: Sequence[str], day: str, gap: int) -> DataFrame:
     """Greedy de-clustering: an event is kept if the last kept one of its series is at least `gap` days back.
 
