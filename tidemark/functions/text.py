@@ -30,9 +30,10 @@ def tokens(c: Column) -> Column:
 
 def story_hash(c: Column) -> Column:
     """SHA-1 (16 hex digits) of the sorted words of three letters or more; of the title itself if none is left."""
-    plain = F.regexp_replace(F.regexp_replace(F.lower(c), r"(?U)[^\w\s]", " "), r"(?U)\d+", " ")
-    stop = F.array(*map(F.lit, V.STORY_STOPWORDS))
-    words = F.array_sort(F.filter(F.split(plain, r"(?U)\s+"), lambda t: (F.char_length(t) >= 3) & ~F.array_contains(stop, t)))
+    low = F.lower(c)
+    # What parts words, digits among it, in one pass; texts of ASCII alone, the usual case, need no Unicode classes.
+    plain = F.when(low.rlike(r"[^\x00-\x7F]"), F.regexp_replace(low, r"(?U)[\W\d]+", " ")).otherwise(F.regexp_replace(low, "[^a-z_]+", " "))
+    words = F.array_sort(F.filter(F.split(plain, " "), lambda t: (F.char_length(t) >= 3) & ~t.isin(*V.STORY_STOPWORDS)))
     return F.substring(F.sha1(F.when(F.size(words) > 0, F.array_join(words, " ")).otherwise(stripped(F.lower(c))).cast("binary")), 1, 16)
 
 

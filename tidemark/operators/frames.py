@@ -91,13 +91,13 @@ def refractory(df: DataFrame, by: Sequence[str], day: str, gap: int) -> DataFram
     A fold over each series' sorted distinct event days, as the state is the
     last kept day; the arrays hold event days only.
     """
-    days = df.groupBy(*by).agg(F.array_sort(F.collect_set(day_no(day))).alias("days"))
+    days = df.groupBy(*by).agg(F.array_sort(F.collect_set(day_no(day))).alias("_days"))
     kept = F.aggregate(
-        "days",
+        "_days",
         F.array().cast("array<int>"),
         lambda acc, x: F.when((F.size(acc) == 0) | (x - F.element_at(acc, -1) >= gap), F.concat(acc, F.array(x))).otherwise(acc),
     )
-    return days.select(*by, F.explode(kept).alias("n")).select(*by, F.date_from_unix_date("n").alias(day))
+    return days.select(*by, F.explode(kept).alias("_day")).select(*by, F.date_from_unix_date("_day").alias(day))
 
 
 def spine(df: DataFrame, by: Sequence[str], day: str, bounds: DataFrame | None = None) -> DataFrame:

@@ -50,6 +50,28 @@ def fall():
     return F.col("px_min") / F.col("close") - 1 <= -F.col("t")
 
 
+def judged(outcomes: DataFrame, size: float) -> DataFrame:
+    """outcomes(close, px_min, px_max, ...) with fell and rose: 1 where the window went `size` below or above the close."""
+    return outcomes.withColumn("fell", (F.col("px_min") / F.col("close") - 1 <= -size).cast("int")).withColumn("rose", (F.col("px_max") / F.col("close") - 1 >= size).cast("int"))
+
+
+def era_matched(events: DataFrame, outcomes: DataFrame, base: DataFrame, keys: Sequence[str], cells: Sequence[str], eras: Sequence[str]) -> DataFrame:
+    """Hits of events against what the base rates of their eras lead one to expect, for falls and rises.
+
+    events and outcomes(fell, rose) meet on keys; base(fell, rose) gives its
+    means by eras; one row for each of cells.
+    """
+    rates = base.groupBy(*eras).agg(F.avg("fell").alias("p_fell"), F.avg("rose").alias("p_rose"))
+    got = events.join(outcomes, list(keys)).join(rates, list(eras)).groupBy(*cells)
+    got = got.agg(F.count(F.lit(1)).alias("n_obs"), *(F.sum(c).alias(c) for c in ("fell", "rose", "p_fell", "p_rose")))
+    n, out = F.col("n_obs"), [*cells, "n_obs"]
+    for c in ("fell", "rose"):
+        p = F.col(f"p_{c}") / n
+        z = F.when((p > 0) & (p < 1), binomial_z(F.col(c), n, p))
+        out += [F.col(c).alias(f"{c}_hits"), F.round(F.col(f"p_{c}"), 6).alias(f"{c}_expected"), F.round(100 * (F.col(c) / n - p), 4).alias(f"{c}_edge_pp"), F.round(z, 6).alias(f"{c}_z")]
+    return got.select(*out)
+
+
 def binomial_z(hits, n, p):
     """How many standard deviations `hits` of n lie above a chance of p."""
     return F.try_divide(hits - n * p, F.sqrt(n * p * (1 - p)))

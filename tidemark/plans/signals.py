@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import frames, signals
+from ..operators import corridors, frames, signals
 from . import inputs
 from .registry import query
 
@@ -214,7 +215,21 @@ def _ratio(spark, sf):
     return day.withColumn("ratio", ratio).withColumn("ma", frames.rolling_full(F.col("ratio"), 3, frames.series(["symbol"], ["d"]), F.avg))
 
 
-@query()
+_RATIO = """t0 AS (SELECT event_type AS symbol, ts::DATE AS d, sum(value) FILTER (user_id % 2 = 0) AS buy, sum(value) AS vol, last(value ORDER BY ts, event_id) AS close FROM events GROUP BY 1, 2),
+ r0 AS (SELECT *, CASE WHEN vol - buy > 0 THEN buy / (vol - buy) END AS ratio FROM t0)"""
+_LATE = "CASE WHEN d < DATE '2024-01-11' THEN 'early' WHEN d < DATE '2024-01-21' THEN 'middle' ELSE 'late' END"
+
+
+def _ratio_events(windows, levels):
+    """Entries of the mean ratio below each level, de-clustered by five days, in SQL."""
+    means = " UNION ALL ".join(f"SELECT symbol, d, {n} AS n, CASE WHEN count(ratio) OVER (PARTITION BY symbol ORDER BY d ROWS {n - 1} PRECEDING) = {n} THEN avg(ratio) OVER (PARTITION BY symbol ORDER BY d ROWS {n - 1} PRECEDING) END AS ma FROM r0" for n in windows)
+    return f"""m AS ({means}), b AS (SELECT m.*, lv.level, coalesce(ma < lv.level, FALSE) AS below FROM m, (SELECT unnest([{", ".join(f"{x}::DOUBLE" for x in levels)}]) AS level) AS lv),
+ en AS (SELECT symbol, n, level, d FROM (SELECT *, lag(below, 1, FALSE) OVER (PARTITION BY symbol, n, level ORDER BY d) AS was FROM b) WHERE below AND NOT was),
+ ev AS (SELECT symbol, n, level, min(d) AS d FROM en GROUP BY ALL UNION ALL SELECT symbol, n, level, d FROM (SELECT en.*, row_number() OVER (PARTITION BY en.symbol, en.n, en.level ORDER BY en.d) AS k
+  FROM ev JOIN en ON en.symbol = ev.symbol AND en.n = ev.n AND en.level = ev.level AND en.d >= ev.d + 5) WHERE k = 1)"""
+
+
+@query(f"WITH RECURSIVE {_RATIO}, {_ratio_events((3,), (0.95,))} SELECT symbol, d, round(ma, 6) AS ma FROM ev JOIN m USING (symbol, n, d)")
 def ratio_crossings_refractory(spark, sf):
     """Entries of the mean ratio below 0.95, at least 5 days apart within a symbol."""
     r = _ratio(spark, sf)
@@ -222,7 +237,18 @@ def ratio_crossings_refractory(spark, sf):
     return frames.refractory(events, ["symbol"], "d", 5).join(r, ["symbol", "d"]).select("symbol", "d", F.round("ma", 6).alias("ma"))
 
 
-@query()
+_FULL = "SELECT symbol, d, close, {h} AS h, CASE WHEN count(*) OVER f = {h} THEN min(close) OVER f END AS px_min, CASE WHEN count(*) OVER f = {h} THEN max(close) OVER f END AS px_max FROM r0 WINDOW f AS (PARTITION BY symbol ORDER BY d ROWS BETWEEN 1 FOLLOWING AND {h} FOLLOWING)"
+_EDGES = ", ".join(
+    f"sum({c}) AS {c}_hits, round(sum(p_{c}), 6) AS {c}_expected, round(100 * (sum({c}) / count(*) - sum(p_{c}) / count(*)), 4) AS {c}_edge_pp, "
+    f"round(CASE WHEN sum(p_{c}) > 0 AND sum(p_{c}) < count(*) THEN (sum({c}) - sum(p_{c})) / sqrt(sum(p_{c}) * (1 - sum(p_{c}) / count(*))) END, 6) AS {c}_z"
+    for c in ("fell", "rose")
+)
+_JUDGED = "SELECT *, (px_min / close - 1 <= -{m})::INT AS fell, (px_max / close - 1 >= {m})::INT AS rose FROM ({rows}) WHERE px_min IS NOT NULL"
+
+
+@query(f"""WITH RECURSIVE {_RATIO}, {_ratio_events((3,), (0.95,))}, o AS (SELECT *, {_LATE} AS era FROM ({_JUDGED.format(m=0.5, rows=_FULL.format(h=5))})), p AS (SELECT era, avg(fell) AS p FROM o GROUP BY 1)
+ SELECT era, count(*) AS n_obs, sum(fell) AS hits, round(count(*) * p, 6) AS expected, round(100 * (sum(fell) / count(*) - p), 4) AS edge_pp, round(CASE WHEN p > 0 AND p < 1 THEN (sum(fell) - count(*) * p) / sqrt(count(*) * p * (1 - p)) END, 6) AS z
+ FROM ev JOIN o USING (symbol, d) JOIN p USING (era) GROUP BY era, p""")
 def era_matched_binomial(spark, sf):
     """Hits of those entries against what their eras' base rates lead one to expect."""
     r = _ratio(spark, sf)
@@ -235,6 +261,65 @@ def era_matched_binomial(spark, sf):
     return cells.select("era", "n_obs", "hits", F.round(F.col("n_obs") * F.col("p"), 6).alias("expected"), F.round(100 * (F.col("hits") / F.col("n_obs") - F.col("p")), 4).alias("edge_pp"), z.alias("z"))
 
 
+_MEANS, _BELOW, _AHEAD = (2, 3, 5, 7), (0.90, 0.95, 1.00), (3, 5)
+
+
+@query(f"""WITH RECURSIVE {_RATIO}, {_ratio_events(_MEANS, _BELOW)}, o AS (SELECT *, {_LATE} AS era FROM ({_JUDGED.format(m=0.5, rows=" UNION ALL ".join(f"({_FULL.format(h=h)})" for h in _AHEAD))})),
+ p AS (SELECT symbol, era, h, avg(fell) AS p_fell, avg(rose) AS p_rose FROM o GROUP BY ALL)
+ SELECT symbol, n, level, h, count(*) AS n_obs, {_EDGES} FROM ev JOIN o USING (symbol, d) JOIN p USING (symbol, era, h) GROUP BY ALL""")
+def ratio_grid(spark, sf):
+    """Entries of the mean ratio below a level, for every symbol, mean, level and horizon: falls and rises against their eras' rates."""
+    r, w = _ratio(spark, sf), frames.series(["symbol"], ["d"])
+    means = F.array(*(F.struct(F.lit(n).alias("n"), frames.rolling_full(F.col("ratio"), n, w, F.avg).alias("mean")) for n in _MEANS))
+    rows = signals.grid(r.select("symbol", "d", means.alias("m")).select("symbol", "d", F.explode("m").alias("m")).select("symbol", "d", "m.*"), level=_BELOW)
+    cell = ["symbol", "n", "level"]
+    entered = rows.withColumn("enter", frames.enters(F.col("mean") < F.col("level"), frames.series(cell, ["d"]))).where("enter")
+    full = F.array(*(F.struct(F.lit(h).alias("h"), frames.forward_full(F.col("close"), h, w, F.min).alias("px_min"), frames.forward_full(F.col("close"), h, w).alias("px_max")) for h in _AHEAD))
+    ahead = r.select("symbol", "d", "close", full.alias("f")).select("symbol", "d", "close", F.explode("f").alias("f")).select("symbol", "d", "close", "f.*").where("px_min is not null")
+    ahead = signals.judged(ahead, 0.5).withColumn("era", _era())
+    return signals.era_matched(frames.refractory(entered, cell, "d", 5), ahead, ahead, ["symbol", "d"], [*cell, "h"], ["symbol", "era", "h"])
+
+
+_SUMS, _TAILS, _AFTER, _FALL = (3, 5, 10), (0.05, 0.10, 0.20), (7, 14, 30), 0.05
+
+
+def _year_era():
+    return F.when(F.col("d") < F.lit("1998-01-01").cast("date"), "first").otherwise("second")
+
+
+_OUTFLOW = f"""f AS ({inputs.FLOWS}), px AS ({inputs.PRICE}), s AS ({" UNION ALL ".join(f"SELECT d, {n} AS n, CASE WHEN count(*) OVER (ORDER BY d ROWS {n - 1} PRECEDING) = {n} THEN sum(flow) OVER (ORDER BY d ROWS {n - 1} PRECEDING) END AS s FROM f" for n in _SUMS)}),
+ q AS ({" UNION ALL ".join(f"SELECT d, n, {q}::DOUBLE AS q, s, CASE WHEN count(s) OVER w >= 60 THEN quantile_cont(s, {q}::DOUBLE) OVER w END AS thr FROM s WINDOW w AS (PARTITION BY n ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)" for q in _TAILS)}),
+ en AS (SELECT n, q, d FROM (SELECT *, lag(below, 1, FALSE) OVER (PARTITION BY n, q ORDER BY d) AS was FROM (SELECT *, coalesce(s < thr, FALSE) AS below FROM q)) WHERE below AND NOT was),
+ ev AS (SELECT n, q, min(d) AS d FROM en GROUP BY ALL UNION ALL SELECT n, q, d FROM (SELECT en.*, row_number() OVER (PARTITION BY en.n, en.q ORDER BY en.d) AS k FROM ev JOIN en ON en.n = ev.n AND en.q = ev.q AND en.d >= ev.d + 14) WHERE k = 1),
+ fr AS (SELECT n, q, min(d) AS since FROM q WHERE thr IS NOT NULL GROUP BY ALL), hs AS (SELECT unnest({list(_AFTER)}) AS h),
+ o AS (SELECT px.d AS entry, hs.h, close, (SELECT min(b.close) FROM px AS b WHERE b.d > px.d AND b.d <= px.d + hs.h) AS px_min, (SELECT max(b.close) FROM px AS b WHERE b.d > px.d AND b.d <= px.d + hs.h) AS px_max FROM px, hs WHERE px.d + hs.h <= (SELECT max(d) FROM px)),
+ j AS ({_JUDGED.format(m=_FALL, rows="SELECT * FROM o")}), p AS (SELECT n, q, h, CASE WHEN entry < DATE '1998-01-01' THEN 'first' ELSE 'second' END AS era, avg(fell) AS p_fell, avg(rose) AS p_rose FROM j, fr WHERE entry >= since GROUP BY ALL),
+ ee AS (SELECT *, CASE WHEN d < DATE '1998-01-01' THEN 'first' ELSE 'second' END AS era, (SELECT min(px.d) FROM px WHERE px.d >= ev.d + 1) AS entry FROM ev)"""
+
+
+@query(f"WITH RECURSIVE {_OUTFLOW} SELECT n, q, h, count(*) AS n_obs, {_EDGES} FROM ee JOIN j USING (entry) JOIN p USING (n, q, h, era) GROUP BY ALL")
+def outflow_grid(spark, sf):
+    """Rolling flows under a percentile of their own past, entered on the next day with a price: falls and rises against their eras' rates, over a grid."""
+    flow, px, w = inputs.flows(spark, sf), inputs.price(spark, sf), frames.series([], ["d"])
+    sums = F.array(*(F.struct(F.lit(n).alias("n"), frames.rolling_full(F.col("flow"), n, w).alias("s")) for n in _SUMS))
+    rows = flow.select("d", (F.row_number().over(w) - 1).alias("i"), sums.alias("s")).select("d", "i", F.explode("s").alias("s")).select("d", "i", "s.n", "s.s")
+    rows = corridors.past_quantiles(rows.withColumn("symbol", F.col("n").cast("string")), {"thr": F.col("s")}, 1, _TAILS, 60)
+    rows = rows.select("d", "n", "s", F.explode(F.array(*(F.struct(F.lit(q).alias("q"), F.col("thr")[j].alias("thr")) for j, q in enumerate(_TAILS)))).alias("t")).select("d", "n", "s", "t.*")
+    cell = ["n", "q"]
+    entered = rows.withColumn("enter", frames.enters(F.col("s") < F.col("thr"), frames.series(cell, ["d"]))).where("enter")
+    events = frames.refractory(entered, cell, "d", 14).withColumn("era", _year_era())
+    # The first day with a price from the next day on: prices and events in one order, looked at from behind.
+    days = px.select("d", F.col("d").alias("entry")).unionByName(events.select(F.date_add("d", 1).alias("d"), F.lit(None).cast("date").alias("entry"))).groupBy("d").agg(F.max("entry").alias("entry"))
+    following = frames.series([], ["d"]).rowsBetween(0, Window.unboundedFollowing)
+    days = days.select(F.date_sub("d", 1).alias("d"), F.first("entry", ignorenulls=True).over(following).alias("entry"))
+    ahead = signals.forward_extremes(px, _AFTER).join(F.broadcast(px.agg(F.max("d").alias("end"))), F.expr("date_add(d, h) <= end")).where("px_min is not null")  # one row
+    ahead = signals.judged(ahead, _FALL).withColumn("era", _year_era())
+    since = rows.where("thr is not null").groupBy(*cell).agg(F.min("d").alias("since"))
+    base = ahead.join(F.broadcast(since), F.col("d") >= F.col("since"))  # one row for each cell
+    outcomes = ahead.select(F.col("d").alias("entry"), "h", "fell", "rose")
+    return signals.era_matched(events.join(days, "d"), outcomes, base, ["entry"], [*cell, "h"], [*cell, "h", "era"])
+
+
 @query(f"""WITH f AS ({inputs.FLOWS}), s AS (SELECT d, CASE WHEN count(*) OVER w5 = 5 THEN sum(flow) OVER w5 END AS s FROM f WINDOW w5 AS (ORDER BY d ROWS 4 PRECEDING)),
  q AS (SELECT d, s, CASE WHEN count(s) OVER p >= 60 THEN quantile_cont(s, 0.1) OVER p END AS thr FROM s
   WINDOW p AS (ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
