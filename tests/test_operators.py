@@ -236,28 +236,99 @@ def test_ladder(spark):
     assert got == ["hot", "warm", "watch", "watch", None]
 
 
-def test_rotation_against_python():
-    rng = np.random.default_rng(3)
-    frame = pd.DataFrame(np.exp(np.cumsum(rng.normal(0, 0.05, (60, 4)), axis=0)), index=pd.date_range("2024-01-01", periods=60), columns=list("abcd"))
-    got = P.curve(frame, 5, 2, 3, 0.001, P.Plain(P.returns(frame)))
-    value, held, i = 1.0, set(), 5
-    while i < 59:
-        gain = (frame.iloc[i] / frame.iloc[i - 5] - 1).sort_values(ascending=False)
-        new = list(gain[gain > 0].index[:2])
-        value *= 1 - len(held ^ set(new)) / 4 * 0.001
-        held = set(new)
-        for j in range(i + 1, min(i + 3, 59) + 1):
-            value *= 1 + (float(np.mean([frame[s].iloc[j] / frame[s].iloc[j - 1] - 1 for s in new])) if new else 0.0)
-        i = min(i + 3, 59)
-    assert got["equity"].iloc[-1] == pytest.approx(value)
-    falling = pd.DataFrame({"a": np.linspace(10, 1, 30)}, index=pd.date_range("2024-01-01", periods=30))
-    assert P.curve(falling, 3, 1, 2, 0.01, P.Plain(P.returns(falling)))["equity"].eq(1.0).all()
-
-
-def test_delisting_costs_once():
-    frame = pd.DataFrame({"a": [1, 2, 3, 4, np.nan, np.nan, np.nan], "b": [1, 1.1, 1.2, 1.3, 1.4, 1.5, 1.6]}, index=pd.date_range("2024-01-01", periods=7))
-    got = P.curve(frame, 2, 2, 9, 0.0, P.Delisting(P.returns(frame), frame, 1.0))
-    assert got["ret"].iloc[2] == pytest.approx((1.4 / 1.3 - 1 - 1) / 2) and got["ret"].iloc[3] == pytest.approx(1.5 / 1.4 - 1)
+def paneled(spark, table):
+    rows = [(s, d, float(x)) for s, xs in table.items() for d, x in zip(days(*range(len(xs))), xs, strict=True) if x is not None]
+    return P.panel(spark.createDataFrame(rows, "symbol string, d date, close double"))
+
+
+def plain_rotation(table, n, k, h, cost, loss=None, flags=None, recover=0):
+    """The rotation walked day by day."""
+    names, size = sorted(table), len(next(iter(table.values())))
+    last = {s: max(j for j in range(size) if table[s][j] is not None) for s in names}
+    value, held, out, until = 1.0, [], [1.0], -1
+    for i in range(n, size - 1, h):
+        gain = {s: table[s][i] / table[s][i - n] - 1 for s in names if table[s][i] is not None and table[s][i - n] is not None}
+        basket = sorted((s for s in gain if gain[s] > 0), key=lambda s: (-gain[s], s))[:k]
+        value *= 1 - len(set(held) ^ set(basket)) / (2 * k) * cost
+        held = list(basket)
+        for j in range(i + 1, min(i + h, size - 1) + 1):
+            if flags is not None and flags[j]:
+                until = j + recover
+                value *= 1 - (cost if held else 0)
+                held = []
+            elif flags is not None and j <= until:
+                pass
+            else:
+                if flags is not None and not held and basket:
+                    held = list(basket)
+                    value *= 1 - cost
+                gone = [s for s in held if loss is not None and last[s] < size - 1 and j > last[s]]
+                stay = [s for s in held if s not in gone]
+                moves = [table[s][j] / table[s][j - 1] - 1 for s in stay] + [-(loss or 0.0)] * len(gone)
+                value *= 1 + (sum(moves) / len(moves) if moves else 0.0)
+                held = stay
+            out.append(value)
+    return out
+
+
+def random_table(seed, size=60, names="abcd"):
+    rng = np.random.default_rng(seed)
+    return {s: list(np.exp(np.cumsum(rng.normal(0, 0.05, size)))) for s in names}
+
+
+def curve_of(rows, cell=0):
+    return [r.equity for r in sorted(rows, key=lambda r: r.j) if r.cell == cell]
+
+
+def test_rotation_against_python(spark):
+    cells = [{"n": 5, "k": 2, "h": 3, "cost": 0.001}, {"n": 2, "k": 3, "h": 1, "cost": 0.01}, {"n": 9, "k": 1, "h": 20, "cost": 0.0}]
+    table = random_table(3)
+    rows = P.curve(paneled(spark, table), cells).collect()
+    for i, c in enumerate(cells):
+        assert curve_of(rows, i) == pytest.approx(plain_rotation(table, **c))
+    falling = {"a": list(np.linspace(10, 1, 30))}
+    assert set(curve_of(P.curve(paneled(spark, falling), [{"n": 3, "k": 1, "h": 2, "cost": 0.01}]).collect())) == {1.0}
+
+
+def test_delisting_costs_once(spark):
+    table = random_table(4, 40)
+    table["b"][17:] = [None] * 23
+    table["d"][30:] = [None] * 10
+    cells = [{"n": 4, "k": 3, "h": h, "cost": 0.002, "loss": x} for h in (1, 6) for x in (0.0, 0.7)]
+    rows = P.curve(paneled(spark, table), cells).collect()
+    for i, c in enumerate(cells):
+        assert curve_of(rows, i) == pytest.approx(plain_rotation(table, **c))
+
+
+def test_breaker_against_python(spark):
+    table, rng = random_table(6, 70), random.Random(1)
+    cells = [{"n": 4, "k": 2, "h": h, "cost": 0.01, "recover": r} for h in (1, 5) for r in (0, 2, 9)]
+    flags = [rng.random() < 0.15 for _ in range(70)]
+    df = spark.createDataFrame([(c, j, f) for c in range(len(cells)) for j, f in enumerate(flags)], "cell int, j int, flag boolean")
+    rows = P.curve(paneled(spark, table), cells, df).collect()
+    for i, c in enumerate(cells):
+        assert curve_of(rows, i) == pytest.approx(plain_rotation(table, flags=flags, **c))
+
+
+def test_breaker_flags(spark):
+    """On the next day, of a spike or a fall from the high; against pandas."""
+    table = random_table(9, 60, "a")
+    close = pd.Series(table["a"])
+    r = close.pct_change()
+    got = {r_.j: r_.flag for r_ in P.breaker_flags(paneled(spark, table), "a", [{"v": 5, "m": 1.2, "dd": 0.1}], 10, 20).collect()}
+    up = (r.rolling(5).std() > 1.2 * r.rolling(20).std()) | (close / close.rolling(10).max() - 1 < -0.1)
+    assert [got[j] for j in range(60)] == [False, *up[:-1].tolist()]
+
+
+def test_vol_target_against_pandas(spark):
+    base = P.curve(paneled(spark, random_table(5)), [{"n": 5, "k": 2, "h": 3, "cost": 0.001}])
+    cell = {"target": 0.3, "lookback": 6, "most": 1.5, "cost": 0.001, "lend": 0.04, "borrow": 0.08}
+    rows = sorted(P.vol_target(base, [cell]).collect(), key=lambda r: r.j)
+    b = base.orderBy("j").toPandas()
+    known = (b["ret"].rolling(6).std() * math.sqrt(365)).shift(1)
+    e = (0.3 / known).clip(upper=1.5).fillna(0.0)
+    day = b["ret"] * e + (1 - e).clip(lower=0) * 0.04 / 365 - (e - 1).clip(lower=0) * 0.08 / 365 - (b["turnover"] * e + e.diff().abs().fillna(0)) * 0.001
+    assert [r.exposure for r in rows] == pytest.approx(e.tolist()) and [r.equity for r in rows] == pytest.approx((1 + day).cumprod().tolist())
 
 
 def test_book_sync():

@@ -65,6 +65,17 @@ PRICE = """SELECT d, avg(p) OVER (ORDER BY d ROWS 29 PRECEDING) AS close
   FROM (SELECT l_shipdate::DATE AS d, avg(l_extendedprice / l_quantity) AS p FROM lineitem GROUP BY 1)"""
 
 
+def lines(spark, sf_dir) -> DataFrame:
+    """symbol, d, close of seven names, one for each line of an order: as `price`, of that line's shipments."""
+    name = F.concat(F.lit("line"), F.col("l_linenumber").cast("string")).alias("symbol")
+    day = table(spark, sf_dir, "lineitem").groupBy(name, F.to_date("l_shipdate").alias("d")).agg(F.avg(F.col("l_extendedprice") / F.col("l_quantity")).alias("p"))
+    return day.select("symbol", "d", F.avg("p").over(Window.partitionBy("symbol").orderBy("d").rowsBetween(-29, 0)).alias("close"))
+
+
+LINES = """SELECT symbol, d, avg(p) OVER (PARTITION BY symbol ORDER BY d ROWS 29 PRECEDING) AS close
+  FROM (SELECT 'line' || l_linenumber AS symbol, l_shipdate::DATE AS d, avg(l_extendedprice / l_quantity) AS p FROM lineitem GROUP BY 1, 2)"""
+
+
 def headlines(spark, sf_dir) -> DataFrame:
     """headline_id, title (the whole text), lang, source, published_at."""
     d = table(spark, sf_dir, "documents")

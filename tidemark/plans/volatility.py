@@ -28,14 +28,11 @@ SERIES = f"SELECT 'base' AS symbol, d, close FROM ({inputs.PRICE}) UNION ALL SEL
 
 
 def _coins(spark, sf):
-    """symbol, d, close of three series, one for each of the first three lines of an order."""
-    day = inputs.table(spark, sf, "lineitem").where("l_linenumber <= 3").groupBy(F.concat(F.lit("line"), F.col("l_linenumber").cast("string")).alias("symbol"), F.to_date("l_shipdate").alias("d"))
-    day = day.agg(F.avg(F.col("l_extendedprice") / F.col("l_quantity")).alias("p"))
-    return day.select("symbol", "d", F.avg("p").over(frames.series(["symbol"], ["d"]).rowsBetween(-29, 0)).alias("close"))
+    """symbol, d, close of the first three of the names."""
+    return inputs.lines(spark, sf).where("symbol <= 'line3'")
 
 
-COINS = """SELECT symbol, d, avg(p) OVER (PARTITION BY symbol ORDER BY d ROWS 29 PRECEDING) AS close FROM (SELECT 'line' || l_linenumber AS symbol, l_shipdate::DATE AS d,
-  avg(l_extendedprice / l_quantity) AS p FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1, 2)"""
+COINS = f"SELECT * FROM ({inputs.LINES}) WHERE symbol <= 'line3'"
 
 
 def _implied(spark, sf):
