@@ -98,9 +98,12 @@ def test_ngram_join_of_rows_that_share_an_id(spark):
     assert sorted(str(r.component_id) for r in ngram_join.join(bare).collect()) == ["7"] * 3 and [r.doc_id for r in ngram_join.one_of_each(bare).collect()] == [7]
 
 
-def test_ngram_join_of_large_buckets(spark, monkeypatch):
-    """Buckets far above the block size, with several components in them, lose no link."""
+@pytest.mark.parametrize("hot", [1 << 10, 2])
+def test_ngram_join_of_large_buckets(spark, monkeypatch, hot):
+    """Buckets far above the block size, with several components in them, lose no link; nor do those dealt to several tasks."""
     monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    monkeypatch.setattr(ngram_join, "SAMPLED", 64 if hot > 2 else 1)
+    monkeypatch.setattr(ngram_join, "HOT", hot)
     rng = random.Random(8)
     base, rows = [[f"{c}{i}" for i in range(80)] for c in "ab"], []
     for i in range(90):

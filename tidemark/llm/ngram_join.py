@@ -36,12 +36,15 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .exchange import BLOCK as BLOCK_SQL
-from .exchange import blocks, dealt, dropped, hot_join, keep_ids, parts, read_blocks, small_ids, spread, stored
+from .exchange import blocks, dealt, hot_join, keep_ids, parts, read_blocks, small_ids, spread, stored
 from .words import BLANKS, mix, rolling, run_hash, slices, words
 
 K, PERCENT = 5, 80
 GROWTH = 1.6  # ratio of the largest to the smallest size whose larger set decides a band
 CELL_ROWS = 1 << 17  # rows of bucket members in one task
+KEY_ROWS = 1 << 22  # shingles whose keys meet in one task
+SAMPLED, HOT = 64, 1 << 10  # one text in SAMPLED tells hot keys, of HOT sampled nodes or more
+_REC = np.dtype([("key", "<u8"), ("node", "<i8")])
 CHUNK = 48  # sets verified against one other set in a group
 BLOCK = 1024  # members of a bucket on each side of a sketch comparison
 
@@ -133,41 +136,90 @@ def keys_of(sets: np.ndarray, bands: Bands) -> np.ndarray:
     return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
 
-_FEATURES = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("node", pa.int64()), ("n_shingles", pa.int64()), ("sketch", pa.binary())])
+_FEATURES = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("node", pa.int64()), ("n_shingles", pa.int64()), ("sketch", pa.binary()), ("keys", pa.list_(pa.int64()))])
 
 
-def _features(k):
+def _features(k, percent, sampled):
     def run(batches):
+        """Node, size and sketch of every row; one text in `sampled` also brings its bucket keys, by which hot ones are known."""
+        bands = Bands(percent)
         for b in batches:
-            found = [(set_print(x), len(x), bit_sketch(x) if len(x) else None) for _, x in shingle_sets(b.column("text"), k)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.binary())], schema=_FEATURES)
+            found = [x for _, x in shingle_sets(b.column("text"), k)]
+            drawn = b.column("text_key").to_numpy() % sampled == 0
+            keys = [keys_of(x, bands).view(np.int64) if d and len(x) else None for x, d in zip(found, drawn.tolist(), strict=True)]
+            columns = [[set_print(x) for x in found], [len(x) for x in found], [bit_sketch(x) if len(x) else None for x in found], keys]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), *(pa.array(x, f.type) for x, f in zip(columns, list(_FEATURES)[2:], strict=True))], schema=_FEATURES)
 
     return run
 
 
-_KEYS = pa.schema([("bucket", pa.int64()), ("node", pa.int64())])
+class HotKeys:
+    """Bucket keys with a large share of all records, and into how many parts each is dealt."""
+
+    def __init__(self, keys: list[int], salts: list[int]):
+        order = np.argsort(np.array(keys, np.int64).view(np.uint64))
+        self.keys, self.salts = np.array(keys, np.int64).view(np.uint64)[order], np.array(salts, np.uint64)[order]
 
+    def of(self, key: np.ndarray) -> np.ndarray:
+        """Parts of each key: 0 for those that are not hot."""
+        if not len(self.keys):
+            return np.zeros(len(key), np.uint64)
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.salts[at], 0).astype(np.uint64)
 
-def _keys(k, percent):
+
+def _keys(k, percent, n_parts, hot):
     def run(batches):
-        """Bucket keys of every distinct set of a batch."""
+        """Records of every distinct set of a batch, dealt by key; those of hot keys by key and node."""
         bands = Bands(percent)
         for b in batches:
-            seen, keys, nodes, size = set(), [], [], 0
+            seen, rec, size = set(), [], 0
             for _, x in shingle_sets(b.column("text"), k):
                 node = set_print(x)
                 if not node or node in seen:
                     continue
                 seen.add(node)
-                key = keys_of(x, bands).view(np.int64)
-                keys.append(key)
-                nodes.append(np.full(len(key), node, np.int64))
-                size += len(key)
-                if size > 1 << 18:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(nodes))], schema=_KEYS)
-                    keys, nodes, size = [], [], 0
+                key = keys_of(x, bands)
+                r = np.empty(len(key), _REC)
+                r["key"], r["node"] = key, node
+                rec.append(r)
+                size += len(r)
+                if size > 1 << 20:
+                    yield _packed(rec, n_parts, hot.value)
+                    rec, size = [], 0
             if size:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(nodes))], schema=_KEYS)
+                yield _packed(rec, n_parts, hot.value)
+
+    return run
+
+
+def _packed(rec, n_parts, hot):
+    r = np.concatenate(rec)
+    salts = hot.of(r["key"])
+    salt = np.where(salts > 0, mix(r["node"].view(np.uint64)) % np.maximum(salts, 1), 0).astype(np.uint64)
+    part = spread(np.where(salt > 0, mix(r["key"] + salt), r["key"]), n_parts)
+    return blocks(part, n_parts, lambda rows: r[rows].tobytes())
+
+
+_MEMBERS = pa.schema([("bucket", pa.int64()), ("u", pa.int64()), ("node", pa.int64()), ("size", pa.int64())])
+
+
+def _buckets(hot):
+    def run(batches):
+        """Distinct members of every key that at least two nodes share, with the smallest of them (u) and their number; of hot keys all, without."""
+        r = np.unique(read_blocks(batches, _REC))
+        if not len(r):
+            return
+        cut = np.flatnonzero(np.diff(r["key"], prepend=~r["key"][:1]))
+        size = np.diff(cut, append=len(r))
+        is_hot = hot.value.of(r["key"][cut]) > 0
+        many = (size >= 2) | is_hot
+        cut, size, is_hot = cut[many], size[many], is_hot[many]
+        at = np.repeat(cut, size) + (np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size))
+        u, n, bare = np.repeat(r["node"][cut], size), np.repeat(size, size), np.repeat(is_hot, size)
+        for lo in range(0, len(at), 1 << 16):
+            x = slice(lo, lo + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(r["key"][at[x]].view(np.int64)), pa.array(u[x], mask=bare[x]), pa.array(np.ascontiguousarray(r["node"][at[x]])), pa.array(n[x], mask=bare[x])], schema=_MEMBERS)
 
     return run
 
@@ -281,17 +333,31 @@ def _distinct_pairs(batches):
         yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(r["u"])), pa.array(np.ascontiguousarray(r["v"]))], schema=_LINKS)
 
 
-def _stars(texts: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Members (bucket, node) of all buckets with two nodes or more, and pairs (u, v) of each bucket's smallest node with the others.
+def _hot_keys(rows: DataFrame, n: int) -> HotKeys:
+    """Keys that hold more than a quarter of an even part of the sampled records: at most four for each of n parts.
 
-    Keys and nodes are counted as rows, so a bucket of any size is spread over all tasks.
+    The sample only says how keys are dealt; which members meet does not rest on it.
     """
-    each = stored(texts.select("text").mapInArrow(_keys(k, percent), "bucket long, node long").distinct(), "keys")
-    heads = each.groupBy("bucket").agg(F.min("node").alias("u"), F.count(F.lit(1)).alias("size")).where("size >= 2").select("bucket", "u")
-    heads = stored(heads, "heads")
-    members = stored(hot_join(each, heads, "bucket").where("u is not null"), "members")
-    dropped(each)
-    return members, members.where("node <> u").select("u", F.col("node").alias("v")).distinct()
+    each = rows.where("keys is not null").select("node", F.explode("keys").alias("key")).distinct().groupBy("key").agg(F.count(F.lit(1)).alias("rows"))
+    total = each.agg(F.sum("rows").alias("n")).first()["n"] or 0
+    level = max(HOT, total // (4 * n))
+    got = each.where(F.col("rows") > level).collect()
+    return HotKeys([r["key"] for r in got], [-(-2 * r["rows"] // level) for r in got])
+
+
+def _members(texts: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame:
+    """bucket, u, node, size of all buckets with two nodes or more; u is the smallest node."""
+    spark = texts.sparkSession
+    shingles = rows.agg(F.sum("n_shingles").alias("n")).first()["n"] or 0
+    n = parts(spark, shingles, KEY_ROWS)
+    hot = spark.sparkContext.broadcast(_hot_keys(rows, n))
+    found = dealt(texts.select("text").mapInArrow(_keys(k, percent, n, hot), BLOCK_SQL), n).mapInArrow(_buckets(hot), "bucket long, u long, node long, size long")
+    found = stored(found, "members")
+    if not len(hot.value.keys):
+        return found
+    heads = found.where("u is null").groupBy("bucket").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    spread_ = found.where("u is null").select("bucket", "node").join(F.broadcast(heads), "bucket")  # at most four keys a part
+    return found.where("u is not null").unionByName(spread_.select("bucket", F.col("head").alias("u"), "node", F.col("members").alias("size")))
 
 
 def _cells(members: DataFrame, known: DataFrame) -> tuple[DataFrame, int]:
@@ -302,7 +368,7 @@ def _cells(members: DataFrame, known: DataFrame) -> tuple[DataFrame, int]:
     of the major part are linked already, so its blocks meet only the minor
     ones: what a bucket costs is its size times the blocks of its minor part.
     """
-    members = stored(members.select("bucket", "node").join(known.select("node", "root"), "node"), "members")
+    members = stored(members.where("size > 2").select("bucket", "node").join(known.select("node", "root"), "node"), "members")
     by_root = members.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
     split = by_root.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n")).where("n > top.n")
     blocks_of = lambda n: F.ceil(n / BLOCK).cast("long")
@@ -323,18 +389,19 @@ def components_of(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFr
     spark = docs.sparkSession
     text = F.col("text").cast("string")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
-    rows = stored(texts.mapInArrow(_features(k), "doc_id long, text_key long, node long, n_shingles long, sketch binary"), "features")
+    rows = stored(texts.mapInArrow(_features(k, percent, SAMPLED), "doc_id long, text_key long, node long, n_shingles long, sketch binary, keys array<long>"), "features")
     info = rows.where("node <> 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("text_key").alias("text_key"), F.max("n_shingles").alias("size"), F.first("sketch").alias("sketch"))
     info = stored(info, "nodes")
     reps, texts = info.select("node", "text_key"), texts.select("text", "text_key")
 
-    members, stars = _stars(texts, k, percent)
+    members = _members(texts, rows, k, percent)
+    stars = members.where("node <> u").select("u", F.col("node").alias("v")).distinct()
     first = stored(verified(near_pairs(stars, info, percent), texts, reps, k, percent), "links")
     known = stored(info.select("node", "size", "sketch").join(components(first), "node", "left").select("node", "size", "sketch", F.coalesce("root", "node").alias("root")), "known")
     cells, count = _cells(members, known)
     n = parts(spark, count, CELL_ROWS)
     pairs = dealt(cells.repartition(n, "bucket", "a", "b").mapInArrow(_apart(percent, n), BLOCK_SQL), n).mapInArrow(_distinct_pairs, "u long, v long")
-    pairs = pairs.join(members.select("u", F.col("node").alias("v")).distinct(), ["u", "v"], "left_anti")
+    pairs = pairs.join(stars, ["u", "v"], "left_anti")
     roots = components(first.unionByName(verified(pairs, texts, reps, k, percent)))
     low = roots.join(info.select("node", "doc_id"), "node").groupBy("root").agg(F.min("doc_id").alias("low"))
     named = roots.join(low, "root").select("node", "root", "low")
