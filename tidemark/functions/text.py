@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from . import fixed_values as V
 
 
+#: Words that turn a verb round (fixed values).
+NEGATIONS = ("not", "no", "never", "denies", "without", "fails", "refuses")
+
+
 def stripped(c: Column) -> Column:
     """Without white space at both ends."""
     return F.regexp_replace(c, r"^\s+|\s+$", "")
@@ -156,6 +160,29 @@ def direction(category_: Column, negated: Column) -> Column:
     return F.coalesce(F.when(negated, turned).otherwise(base), F.lit("unknown"))
 
 
+def first_verb(c: Column) -> Column:
+    """Struct(lemma, negated): the first word of the text that the verb taxonomy lists, and whether a negation stands within three words before it.
+
+    A stand-in for a dependency parse: inflected forms count where stripping
+    -s, -ed, -d or -ing (with a final e put back) leaves a listed verb.
+    """
+    listed = sorted({w for _, _, lemmas, nouns in V.VERBS.values() for w in f"{lemmas} {nouns}".split()})
+    forms = {f: w for w in reversed(listed) for f in (w, f"{w}s", f"{w}ed", f"{w}d", f"{w}ing", f"{w[:-1]}ing" if w.endswith("e") else w)}
+    table = F.create_map(*(F.lit(x) for item in sorted(forms.items()) for x in item))
+    words = tokens(c)
+    hits = F.filter(F.transform(words, lambda t, i: F.struct(F.element_at(table, t).alias("lemma"), i.alias("i"))), lambda h: h["lemma"].isNotNull())
+    first = F.get(hits, F.lit(0))
+    before = F.slice(words, F.greatest(first["i"] - 2, F.lit(1)), F.least(first["i"], F.lit(3)))
+    negated = F.when(first.isNull(), False).otherwise(F.exists(before, lambda t: t.isin(*NEGATIONS)))
+    return F.struct(first["lemma"].alias("lemma"), negated.alias("negated"))
+
+
+def json_merge(a: Column, b: Column, values: str = "int") -> Column:
+    """Two flat JSON objects as one; where both have a key, the second's value stays."""
+    kind = f"map<string,{values}>"
+    return F.to_json(F.map_zip_with(F.from_json(a, kind), F.from_json(b, kind), lambda k, x, y: F.coalesce(y, x)))
+
+
 def slug_title(url: Column, names: Column | None = None) -> Column:
     """Readable title of a URL's last part, else the first six longer names of a 'name,offset;...' list, else ''."""
     path = F.regexp_replace(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1), r"/+$", "")

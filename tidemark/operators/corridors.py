@@ -268,3 +268,16 @@ def reverting_scale(a: float, b: float, h: int) -> Column:
     """Volatility over h days from v and level_now."""
     keep = a + b
     return F.sqrt(h * F.col("level_now") + (F.col("v") - F.col("level_now")) * ((1 - keep**h) / (1 - keep)))
+
+
+def logged(known: DataFrame, made: DataFrame, keys: Sequence[str], last: Column, catch_up: int) -> DataFrame:
+    """The forecast log after one cycle: write-once, forward only.
+
+    made has a forecast for every day up to the cycle's last close, `last`
+    rows long. A symbol without a log starts with the last of them; otherwise
+    those of the latest `catch_up` rows that are missing are added, never any
+    before its first logged day.
+    """
+    since = known.groupBy("symbol").agg(F.min("d").alias("_first"))
+    open_ = made.join(since, "symbol", "left").where(F.when(F.col("_first").isNull(), F.col("i") == last).otherwise((F.col("i") > last - catch_up) & (F.col("d") >= F.col("_first"))))
+    return known.unionByName(open_.select(*known.columns).join(known.select(*keys), list(keys), "left_anti"))

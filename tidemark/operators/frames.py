@@ -106,6 +106,21 @@ def spine(df: DataFrame, by: Sequence[str], day: str, bounds: DataFrame | None =
     return ends.select(*by, F.explode(F.sequence("lo", "hi", F.expr("interval 1 day"))).alias(day))
 
 
+def months(df: DataFrame, by: Sequence[str], start: str, end: str, month: str = "month") -> DataFrame:
+    """Every calendar month, as its first day, from that of start to that of end."""
+    first = lambda c: F.to_date(F.date_trunc("month", c))
+    return df.select(*by, F.explode(F.sequence(first(start), first(end), F.expr("interval 1 month"))).alias(month))
+
+
+def aligned(df: DataFrame, by: Sequence[str], ts: str, seconds: int, late: int) -> DataFrame:
+    """The first row of each slot of the clock, at most `late` seconds after its start; slots without one are skipped."""
+    at = F.unix_micros(ts)
+    slot = F.floor(at / (seconds * 1_000_000)) * seconds
+    first = df.withColumn("slot", F.timestamp_seconds(slot)).withColumn("_late", at - slot * 1_000_000)
+    kept = first.where(F.col("_late") <= late * 1_000_000)
+    return kept.withColumn("_k", F.row_number().over(Window.partitionBy(*by, "slot").orderBy("_late"))).where("_k = 1").drop("_k", "_late")
+
+
 def filled(df: DataFrame, by: Sequence[str], day: str, value: str, limit: int | None = None) -> DataFrame:
     """One row for each calendar day, the last value carried on for at most `limit` days, days without one dropped."""
     w = series(by, [day])

@@ -6,7 +6,7 @@ import importlib
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
-_MODULES = ("signals", "joins", "texts", "reports", "narratives", "portfolio", "volatility", "book", "tables", "streams", "extras")
+_MODULES = ("signals", "joins", "texts", "reports", "narratives", "portfolio", "volatility", "book", "tables", "streams", "extras", "feeds")
 
 
 def query(sql: str | None = None):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
@@ -53,8 +53,9 @@ def gkg(spark: SparkSession, path: str, pattern: str) -> DataFrame:
 
 def feed_entries(rows: DataFrame, as_of: Column, max_days: int = 7) -> DataFrame:
     """Feed entries with a title of ten characters or more, not older than a week, at the first date that can be read."""
-    iso = [F.try_to_timestamp(c, F.lit(f)) for c in ("published", "updated") for f in ("yyyy-MM-dd'T'HH:mm:ssXXX", "EEE, dd MMM yyyy HH:mm:ss Z")]
-    at = F.coalesce(*iso, as_of)
+    bare = lambda c: F.regexp_replace(F.regexp_replace(c, "^[A-Za-z]{3}, ", ""), "(GMT|UTC|Z)$", "+0000")
+    dates = [x for c in ("published", "updated") for x in (F.try_to_timestamp(c, F.lit("yyyy-MM-dd'T'HH:mm:ssXXX")), F.try_to_timestamp(bare(c), F.lit("d MMM yyyy HH:mm:ss Z")))]
+    at = F.coalesce(*dates, as_of)
     return rows.withColumn("published_at", at).where((F.char_length(F.trim("title")) >= 10) & (F.col("published_at") >= as_of - F.make_dt_interval(F.lit(max_days))))
 
 
@@ -125,6 +126,35 @@ def scaled_iv(rows: DataFrame, column: str) -> DataFrame:
     return rows.join(F.broadcast(mid)).withColumn(column, F.when(F.col("_mid") > 1.5, F.col(column) / 100).otherwise(F.col(column))).drop("_mid")  # one row
 
 
+def progressing(pages: DataFrame, by: Sequence[str], page: str, ts: str) -> DataFrame:
+    """Rows of pages read forwards, up to the first page that brings no later time than all before it: from there a source repeats itself."""
+    last = pages.groupBy(*by, page).agg(F.max(ts).alias("_last"))
+    w = Window.partitionBy(*by).orderBy(page)
+    before = F.max("_last").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    stuck = last.withColumn("_stuck", F.coalesce(F.col("_last") <= before, F.lit(False)))
+    first = stuck.where("_stuck").groupBy(*by).agg(F.min(page).alias("_end"))
+    return pages.join(first, list(by), "left").where(F.col("_end").isNull() | (F.col(page) < F.col("_end"))).drop("_end")
+
+
+def continued(rows: DataFrame, by: Sequence[str], ts: str, value: str, as_of: Column) -> DataFrame:
+    """A daily volatility history read backwards in overlapping pages: one row a time, the unfinished day left out, levels as fractions."""
+    done = rows.where(F.to_date(ts) < F.to_date(as_of)).groupBy(*by, ts).agg(F.max(value).alias(value))
+    return scaled_iv(done, value)
+
+
+def complete_listings(pages: DataFrame, listing: str = "listing", page: str = "page", more: str = "truncated") -> DataFrame:
+    """Pages of listings that were read to their end: numbered from 0 without gaps, and only the last not truncated."""
+    own = pages.groupBy(listing).agg(F.countDistinct(page).alias("n"), F.min(page).alias("lo"), F.max(page).alias("hi"), F.max_by(more, page).alias("open"), F.count_if(~F.col(more)).alias("ends"))
+    whole = own.where("lo = 0 and hi = n - 1 and not open and ends = 1").select(listing)
+    return pages.join(whole, listing, "left_semi")
+
+
+def daily_returns(rows: DataFrame, by: Sequence[str], day: str, close: str) -> DataFrame:
+    """rows with daily_return: each close against the last one before it that is not null; null where there is none."""
+    w = Window.partitionBy(*by).orderBy(day).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("daily_return", F.try_divide(F.col(close), F.last(close, ignorenulls=True).over(w)) - 1)
+
+
 def with_columns(df: DataFrame, wanted: dict[str, str]) -> DataFrame:
     """df with missing columns added as nulls of their type, in the wanted order."""
     return df.select(*[F.col(c).cast(t).alias(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in wanted.items()])

@@ -21,6 +21,14 @@ def replace(known: DataFrame, rows: DataFrame, keys: Sequence[str], recency: str
     return last.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest]).select(*known.columns)
 
 
+def incremented(known: DataFrame, rows: DataFrame, keys: Sequence[str], counter: str) -> DataFrame:
+    """Upsert whose conflicts count: a key's counter grows by its number of new rows; new keys start at theirs."""
+    new = rows.groupBy(*keys).agg(F.count(F.lit(1)).cast(known.schema[counter].dataType).alias("_add"))
+    both = known.withColumn("_add", F.lit(0).cast(known.schema[counter].dataType)).unionByName(new.withColumn(counter, F.lit(0).cast(known.schema[counter].dataType)), allowMissingColumns=True)
+    rest = [c for c in known.columns if c not in (*keys, counter)]
+    return both.groupBy(*keys).agg(F.sum(F.col(counter) + F.col("_add")).alias(counter), *(F.max(c).alias(c) for c in rest)).select(*known.columns)
+
+
 def counted(known: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """How many of rows an insert would add and how many it would skip."""
     new = rows.dropDuplicates(list(keys)).join(known.select(*keys).distinct(), list(keys), "left_anti").agg(F.count(F.lit(1)).alias("inserted"))
