@@ -144,10 +144,11 @@ def _features(k, percent, sampled):
         """Node, size and sketch of every row; one text in `sampled` also brings its bucket keys, by which hot ones are known."""
         bands = Bands(percent)
         for b in batches:
-            found = [x for _, x in shingle_sets(b.column("text"), k)]
-            drawn = b.column("text_key").to_numpy() % sampled == 0
-            keys = [keys_of(x, bands).view(np.int64) if d and len(x) else None for x, d in zip(found, drawn.tolist(), strict=True)]
-            columns = [[set_print(x) for x in found], [len(x) for x in found], [bit_sketch(x) if len(x) else None for x in found], keys]
+            drawn = (b.column("text_key").to_numpy() % sampled == 0).tolist()
+            columns: list[list] = [[], [], [], []]
+            for i, x in shingle_sets(b.column("text"), k):
+                for column, value in zip(columns, (set_print(x), len(x), bit_sketch(x) if len(x) else None, keys_of(x, bands).view(np.int64) if drawn[i] and len(x) else None), strict=True):
+                    column.append(value)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), *(pa.array(x, f.type) for x, f in zip(columns, list(_FEATURES)[2:], strict=True))], schema=_FEATURES)
 
     return run
@@ -184,7 +185,7 @@ def _keys(k, percent, n_parts, hot):
                 r["key"], r["node"] = key, node
                 rec.append(r)
                 size += len(r)
-                if size > 1 << 20:
+                if size > 1 << 18:
                     yield _packed(rec, n_parts, hot.value)
                     rec, size = [], 0
             if size:

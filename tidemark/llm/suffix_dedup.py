@@ -37,7 +37,7 @@ from .words import BLANKS, find_words, mix, powers, slices, words
 
 MIN_WORDS, ANCHOR = 50, 16
 HOT = 1 << 14  # texts of one anchor in one task
-PART_ROWS = 1 << 15  # suffixes in one task, about 600 bytes each
+PART_ROWS = 1 << 14  # suffixes in one task, about 600 bytes each
 _PLACE = np.uint64((1 << 24) - 1)
 _SPAN = np.dtype([("doc", "<i8"), ("text", "<i8"), ("pos", "<i4"), ("n", "<i4"), ("first", "<i8"), ("at", "<i4")])
 
@@ -153,8 +153,8 @@ def _contexts(size, k, n_parts):
                     at, lo, hi, j = at[ok], st[first][ok], st[last][ok], j[ok]
                     salted = np.where(salt[j] > 1, mix(np.full(1, text_key[s.lo + i]).view(np.uint64))[0] % np.maximum(salt[j], 1).astype(np.uint64), 0).astype(np.uint64)
                     key, hot = key[ok].view(np.uint64), salt[j] > 1
-                    for c in range(0, len(at), 1 << 14):
-                        x = slice(c, c + (1 << 14))
+                    for c in range(0, len(at), 1 << 13):
+                        x = slice(c, c + (1 << 13))
                         rec = np.zeros(len(at[x]), kind)
                         rec["key"], rec["doc"], rec["text"], rec["pos"] = key[x], docs[s.lo + i], text_key[s.lo + i], at[x] - w.bounds[i]
                         rec["left"], rec["right"], rec["hot"] = (at - lo)[x], (hi + size - at - k)[x], hot[x]
@@ -168,7 +168,7 @@ def _contexts(size, k, n_parts):
         for part, rec in run(batches):
             held.append((part, rec))
             total += len(rec)
-            if total > 1 << 14:
+            if total > 1 << 13:
                 yield _blocks(held, n_parts)
                 held, total = [], 0
         if total:
@@ -202,17 +202,17 @@ def sources(r: np.ndarray, reach: int, size: int, within: bool) -> tuple[np.ndar
     classes = []
     for name in ("before", "after"):
         order, lcp = order_and_lcp(r["key"], r[name])
-        rank = np.empty((reach + 1, len(r)), np.int64)
+        rank = np.empty((reach + 1, len(r)), np.int32)
         for depth in range(reach + 1):
             rank[depth, order] = np.cumsum(lcp < depth)
         classes.append(rank)
     there = np.zeros((len(r), reach + 1), bool)
-    source = np.full((len(r), reach + 1), -1, np.int64)
+    source = np.full((len(r), reach + 1), -1, np.int32)
     for left in range(reach + 1):
         own = np.flatnonzero((r["left"] >= left) & (r["right"] >= reach - left))
         if not len(own):
             continue
-        _, first, number = np.unique(classes[0][left, own] << 32 | classes[1][reach - left, own], return_index=True, return_inverse=True)
+        _, first, number = np.unique(classes[0][left, own].astype(np.int64) << 32 | classes[1][reach - left, own], return_index=True, return_inverse=True)
         f = own[first][number.ravel()]
         late = r["doc"][own] > r["doc"][f]
         if within:
