@@ -37,6 +37,7 @@ from .words import BLANKS, find_words, mix, powers, slices, words
 
 MIN_WORDS, ANCHOR = 50, 16
 HOT = 1 << 14  # texts of one anchor in one task
+CHUNK = 1 << 13  # suffixes compared at a time, or those of one anchor
 PART_ROWS = 1 << 14  # suffixes in one task, about 600 bytes each
 _PLACE = np.uint64((1 << 24) - 1)
 _SPAN = np.dtype([("doc", "<i8"), ("text", "<i8"), ("pos", "<i4"), ("n", "<i4"), ("first", "<i8"), ("at", "<i4")])
@@ -194,7 +195,7 @@ def order_and_lcp(key: np.ndarray, beyond: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def sources(r: np.ndarray, reach: int, size: int, within: bool) -> tuple[np.ndarray, np.ndarray]:
-    """For every suffix (sorted by doc, text and place) and every reach to the left: whether that window is there, and its source.
+    """For every suffix (those of an anchor sorted by doc, text and place) and every reach to the left: whether that window is there, and its source.
 
     The source is the row of the first suffix whose window is equal; -1 where
     the window is its own source or is no repeat of an earlier document.
@@ -230,10 +231,20 @@ def _compare(size, k, n_parts, within, again):
     kind, reach = _suffix_record(size - k), size - k
 
     def run(batches):
-        r = read_blocks(batches, kind)
-        if not len(r):
+        every = read_blocks(batches, kind)
+        if not len(every):
             return
-        r = r[np.lexsort((r["pos"], r["text"], r["doc"]))]
+        every = every[np.lexsort((every["pos"], every["text"], every["doc"], every["key"]))]
+        border = np.flatnonzero(np.diff(every["key"], prepend=~every["key"][:1]))
+        # Some anchors at a time: what is made of them is many times their size.
+        lo = 0
+        while lo < len(every):
+            after = np.searchsorted(border, lo + CHUNK)
+            hi = int(border[after]) if after < len(border) else len(every)
+            yield from matched(every[lo:hi])
+            lo = hi
+
+    def matched(r):
         there, source = sources(r, reach, size, within)
         # Windows of one suffix with one source, next to one another, are one match.
         step = np.diff(source, axis=1, prepend=-1) != 0
