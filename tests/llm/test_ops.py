@@ -178,6 +178,7 @@ def test_suffix_dedup(spark, rows):
 def test_suffix_dedup_of_hot_anchors(spark, monkeypatch):
     """A passage in most texts, its anchors dealt to many tasks, is found in all of them but the first."""
     monkeypatch.setattr(suffix_dedup, "HOT", 3)
+    monkeypatch.setattr(suffix_dedup, "SAMPLED", 1)
     rng = random.Random(2)
     word = lambda: f"v{rng.randrange(3000)}"
     passage = [word() for _ in range(90)]

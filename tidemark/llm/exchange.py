@@ -114,6 +114,21 @@ def spread(h: np.ndarray, n: int) -> np.ndarray:
     return (((h >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int32)
 
 
+class HotKeys:
+    """Keys with a large share of all records, and into how many parts each is dealt."""
+
+    def __init__(self, keys: list[int], salts: list[int]):
+        order = np.argsort(np.array(keys, np.int64).view(np.uint64))
+        self.keys, self.salts = np.array(keys, np.int64).view(np.uint64)[order], np.array(salts, np.uint64)[order]
+
+    def of(self, key: np.ndarray) -> np.ndarray:
+        """Parts of each key: 0 for those that are not hot."""
+        if not len(self.keys):
+            return np.zeros(len(key), np.uint64)
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.salts[at], 0).astype(np.uint64)
+
+
 def small_ids(df: DataFrame, column: str, limit: int = 1 << 18) -> tuple[DataFrame, bool]:
     """The distinct values of a column as a stored table, and whether there are few enough to broadcast."""
     ids = stored(df.select(column).distinct(), "ids")

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .exchange import BLOCK as BLOCK_SQL
-from .exchange import blocks, dealt, hot_join, keep_ids, parts, read_blocks, small_ids, spread, stored
+from .exchange import HotKeys, blocks, dealt, hot_join, keep_ids, parts, read_blocks, small_ids, spread, stored
 from .words import BLANKS, mix, rolling, run_hash, slices, words
 
 K, PERCENT = 5, 80
@@ -154,21 +154,6 @@ def _features(k, percent, sampled):
     return run
 
 
-class HotKeys:
-    """Bucket keys with a large share of all records, and into how many parts each is dealt."""
-
-    def __init__(self, keys: list[int], salts: list[int]):
-        order = np.argsort(np.array(keys, np.int64).view(np.uint64))
-        self.keys, self.salts = np.array(keys, np.int64).view(np.uint64)[order], np.array(salts, np.uint64)[order]
-
-    def of(self, key: np.ndarray) -> np.ndarray:
-        """Parts of each key: 0 for those that are not hot."""
-        if not len(self.keys):
-            return np.zeros(len(key), np.uint64)
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.salts[at], 0).astype(np.uint64)
-
-
 def _keys(k, percent, n_parts, hot):
     def run(batches):
         """Records of every distinct set of a batch, dealt by key; those of hot keys by key and node."""

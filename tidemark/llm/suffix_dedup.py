@@ -32,11 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import BLOCK, blocks, dealt, dropped, hot_join, keep_ids, parts, read_blocks, small_ids, spread, stored
+from .exchange import BLOCK, HotKeys, blocks, dealt, keep_ids, parts, read_blocks, small_ids, spread, stored, text_bytes
 from .words import BLANKS, find_words, mix, powers, slices, words
 
 MIN_WORDS, ANCHOR = 50, 16
-HOT = 1 << 14  # texts of one anchor in one task
+SAMPLED, HOT = 64, 1 << 14  # one text in SAMPLED tells anchors of more than HOT texts, which are dealt to several tasks
+PART_BYTES = 1 << 27  # bytes of text whose suffixes meet in one task
 CHUNK = 1 << 13  # suffixes compared at a time, or those of one anchor
 PART_ROWS = 1 << 14  # suffixes in one task, about 600 bytes each
 _PLACE = np.uint64((1 << 24) - 1)
@@ -106,25 +107,98 @@ def _doc_of(bounds: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.searchsorted(bounds, at, "right") - 1
 
 
-_KEYS = pa.schema([("key", pa.int64()), ("text_key", pa.int64())])
+_SUFFIX = np.dtype([("key", "<u8"), ("text", "<i8")])
 
 
-def _suffixes(size, k):
+def _retained(b, size, k):
+    """Records (first words' fingerprint, text) of the suffixes of a batch, slice by slice, each pair once."""
+    text_key = b.column("text_key").to_numpy()
+    for s in slices(b.column("text")):
+        w = words(s, BLANKS)
+        _, place, prints = anchors(w.hashes, w.bounds, size, k)
+        place = np.unique(place)
+        rec = np.empty(len(place), _SUFFIX)
+        rec["key"], rec["text"] = prints[place], text_key[s.lo + _doc_of(w.bounds, place)]
+        yield np.unique(rec)
+
+
+def _plain_keys(size, k):
     def run(batches):
-        """The first words' fingerprint of every retained suffix, once for each text of a slice."""
         for b in batches:
-            text_key = b.column("text_key").to_numpy()
-            for s in slices(b.column("text")):
-                w = words(s, BLANKS)
-                _, place, prints = anchors(w.hashes, w.bounds, size, k)
-                place = np.unique(place)
-                text = text_key[s.lo + _doc_of(w.bounds, place)]
-                rec = np.unique(np.stack([prints[place].view(np.int64), text]), axis=1) if len(place) else np.zeros((2, 0), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(rec[0]), pa.array(rec[1])], schema=_KEYS)
+            for rec in _retained(b, size, k):
+                yield pa.RecordBatch.from_arrays([pa.array(rec["key"].view(np.int64)), pa.array(np.ascontiguousarray(rec["text"]))], names=["key", "text_key"])
+
+    return run
+
+
+def _suffixes(size, k, n_parts, hot):
+    def run(batches):
+        """Retained suffixes as packed records, dealt by key, those of hot keys by key and text."""
+        for b in batches:
+            held, total = [], 0
+            for rec in _retained(b, size, k):
+                held.append(rec)
+                total += len(rec)
+                if total > 1 << 18:
+                    yield _dealt_out(held, n_parts, hot.value)
+                    held, total = [], 0
+            if total:
+                yield _dealt_out(held, n_parts, hot.value)
+
+    return run
+
+
+def _dealt_out(held, n_parts, hot) -> pa.RecordBatch:
+    rec = np.concatenate(held)
+    salts = hot.of(rec["key"])
+    salt = np.where(salts > 0, mix(rec["text"].view(np.uint64)) % np.maximum(salts, 1), 0).astype(np.uint64)
+    return blocks(spread(np.where(salt > 0, mix(rec["key"] + salt), rec["key"]), n_parts), n_parts, lambda rows: rec[rows].tobytes())
+
+
+_NEED = pa.schema([("need_key", pa.int64()), ("keys", pa.list_(pa.struct([("key", pa.int64()), ("salts", pa.int64())])))])
+_NEED_SQL = "need_key long, keys array<struct<key: long, salts: long>>"
+
+
+def _shared(hot, every):
+    """The sorted suffixes of a part, each compared with its neighbours: those of keys in several texts (or all), by text."""
+
+    def run(batches):
+        r = np.unique(read_blocks(batches, _SUFFIX))
+        if not len(r):
+            return
+        same = np.zeros(len(r) + 1, bool)
+        same[1:-1] = r["key"][1:] == r["key"][:-1]  # unique records of one key differ in text
+        salts = np.maximum(hot.value.of(r["key"]), 1).astype(np.int64)
+        keep = np.ones(len(r), bool) if every else same[1:] | same[:-1] | (hot.value.of(r["key"]) > 0)
+        r, salts = r[keep], salts[keep]
+        order = np.argsort(r["text"], kind="stable")
+        r, salts = r[order], salts[order]
+        cut = np.flatnonzero(np.diff(r["text"], prepend=~r["text"][:1]))
+        ends = np.append(cut, len(r))
+        for lo in range(0, len(cut), 5000):
+            hi = min(len(cut), lo + 5000)
+            x = slice(ends[lo], ends[hi])
+            pairs = pa.StructArray.from_arrays([pa.array(r["key"][x].view(np.int64)), pa.array(salts[x])], names=["key", "salts"])
+            lists = pa.ListArray.from_arrays(pa.array((ends[lo : hi + 1] - ends[lo]).astype(np.int32)), pairs)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(r["text"][cut[lo:hi]])), lists], schema=_NEED)
 
     return run
 
 
+def _hot_keys(cols: DataFrame, size: int, k: int, n: int) -> HotKeys:
+    """Keys of more than HOT texts, by one text in SAMPLED, and the parts each is dealt to; at most four for each of n parts.
+
+    The sample only says how suffixes are dealt; which of them meet does not rest on it.
+    """
+    drawn = cols.where(F.pmod("text_key", F.lit(SAMPLED)) == 0).select("text", "text_key")
+    each = drawn.mapInArrow(_plain_keys(size, k), "key long, text_key long").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("rows"))
+    each = stored(each.where("rows > 1"), "sampled")
+    total = each.agg(F.sum("rows").alias("n")).first()["n"] or 0
+    level = max(HOT // SAMPLED, total // (4 * n))
+    got = each.where(F.col("rows") > level).collect()
+    return HotKeys([r["key"] for r in got], [-(-2 * r["rows"] // level) for r in got])
+
+
 def _contexts(size, k, n_parts):
     kind, reach = _suffix_record(size - k), size - k
 
@@ -142,6 +216,8 @@ def _contexts(size, k, n_parts):
                 own = np.searchsorted(doc, np.arange(s.hi - s.lo + 1))
                 for i in range(s.hi - s.lo):
                     wanted, salt = (x[cuts[s.lo + i] : cuts[s.lo + i + 1]] for x in (shared, salts))
+                    if not len(wanted):
+                        continue
                     order = np.argsort(wanted)
                     wanted, salt = wanted[order], salt[order]
                     st, pl = start[own[i] : own[i + 1]], place[own[i] : own[i + 1]]
@@ -326,16 +402,12 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, anchor: int = ANCHOR, b
     spark = docs.sparkSession
     text = F.col("text").cast("string")
     cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key")).where("doc_id is not null and text is not null")
-    each = cols.select("text", "text_key").mapInArrow(_suffixes(min_words, anchor), "key long, text_key long")
-    each = stored((each.groupBy("key", "text_key").agg(F.count(F.lit(1)).alias("rows")) if within else each.distinct()).select("key", "text_key"), "suffixes")
-    shared = each.groupBy("key").agg(F.count(F.lit(1)).alias("texts"))
-    shared = shared if within else shared.where("texts > 1")
-    shared = stored(shared.select("key", F.ceil(F.col("texts") / HOT).cast("long").alias("salts")), "shared")
-    need = hot_join(each, shared, "key").where("salts is not null").groupBy(F.col("text_key").alias("need_key")).agg(F.collect_list(F.struct("key", "salts")).alias("keys"))
-    need = stored(need, "need")
+    n = parts(spark, text_bytes(cols), PART_BYTES)
+    hot_keys = spark.sparkContext.broadcast(_hot_keys(cols, min_words, anchor, n))
+    found = dealt(cols.select("text", "text_key").mapInArrow(_suffixes(min_words, anchor, n, hot_keys), BLOCK), n).mapInArrow(_shared(hot_keys, within), _NEED_SQL)
+    need = stored(found.groupBy("need_key").agg(F.flatten(F.collect_list("keys")).alias("keys")), "need")
     totals = need.agg(F.sum(F.size("keys")).alias("rows")).first()["rows"] or 0
-    hot = not shared.where("salts > 1").isEmpty()
-    dropped(each)
+    hot = len(hot_keys.value.keys) > 0
     copies = stored(cols.select("doc_id", "text_key").distinct().groupBy("text_key").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies")), "copies")
 
     n = parts(spark, totals, PART_ROWS)
