@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 import numpy as np
@@ -95,8 +93,7 @@ def noise_band(spark, sf):
 @query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def csv_round_trip(spark, sf):
     """A table written as CSV with a header and read back."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "tidemark-shared")
-    path = f"{base.rstrip('/')}/csv-{uuid.uuid4().hex}"
+    path = f"{inputs.shared(spark)}/csv-{uuid.uuid4().hex}"
     t = inputs.table(spark, sf, "nation")
     sinks.csv(t, path)
     return spark.read.schema(t.schema).option("header", True).csv(path)

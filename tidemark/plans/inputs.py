@@ -14,6 +14,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared(spark: SparkSession) -> str:
+    """The folder all executors share (spark.checkpoint.dir); one machine may do with its warehouse."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        path = spark.conf.get("spark.sql.warehouse.dir") + "/shared"
+    return path.rstrip("/")
+
+
 def ticks(spark, sf_dir) -> DataFrame:
     """symbol, ts, close, event_id, user_id."""
     return table(spark, sf_dir, "events").select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("close"), "event_id", "user_id")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -17,8 +15,7 @@ from .registry import query
 
 def _place(spark) -> str:
     """A new folder among the shared ones."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "tidemark-shared")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{inputs.shared(spark)}/stream-{uuid.uuid4().hex}"
 
 
 @query()
