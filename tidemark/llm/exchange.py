@@ -11,6 +11,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .words import trim
+
 BLOCK = "part int, block binary"
 _ARROW = pa.schema([("part", pa.int32()), ("block", pa.binary())])
 
@@ -105,6 +107,7 @@ def blocks(ids: np.ndarray, n: int, pack) -> pa.RecordBatch:
 
 def read_blocks(batches, kind: np.dtype) -> np.ndarray:
     """All records of a partition's blocks as one structured array."""
+    trim()
     found = [np.frombuffer(b, kind) for batch in batches for b in (x.as_buffer() for x in batch.column("block")) if len(b)]
     return np.concatenate(found) if found else np.zeros(0, kind)
 

@@ -42,7 +42,7 @@ from .words import BLANKS, mix, rolling, run_hash, slices, words
 K, PERCENT = 5, 80
 GROWTH = 1.6  # ratio of the largest to the smallest size whose larger set decides a band
 CELL_ROWS = 1 << 17  # rows of bucket members in one task
-KEY_ROWS = 1 << 22  # shingles whose keys meet in one task
+KEY_ROWS = 1 << 20  # shingles whose keys meet in one task
 SAMPLED, HOT = 64, 1 << 10  # one text in SAMPLED tells hot keys, of HOT sampled nodes or more
 _REC = np.dtype([("key", "<u8"), ("node", "<i8")])
 CHUNK = 48  # sets verified against one other set in a group

@@ -8,6 +8,7 @@ modulo 2**64, so no Python loop runs over words.
 
 from __future__ import annotations
 
+import ctypes
 import functools
 from dataclasses import dataclass
 
@@ -99,6 +100,18 @@ def as_strings(column) -> pa.Array:
     return pc.fill_null(column, "") if column.null_count else column
 
 
+@functools.cache
+def _malloc_trim():
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def trim() -> None:
+    """Gives free memory back to the system, which a waiting worker would keep."""
+    pa.default_memory_pool().release_unused()
+    if _malloc_trim() is not None:
+        _malloc_trim()(0)
+
+
 def slices(column, limit: int = SLICE_BYTES):
     """Slices of a string column, each of at most `limit` bytes or one row; nulls are empty."""
     arr = as_strings(column)
@@ -115,6 +128,7 @@ def slices(column, limit: int = SLICE_BYTES):
         hi = min(n, max(hi, lo + 1))
         yield Slice(lo, hi, data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
         lo = hi
+    trim()
 
 
 def find_words(s: Slice, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
