@@ -350,20 +350,28 @@ def test_bucket_border(spark):
 
 
 def test_wall_episode_fates(spark):
-    def cells(seq, **more):
-        return [("s", "bid", k, t, usd, wall, reached) for t, k, usd, wall, reached in seq]
-
-    base = [(t, 50, 1.0, False, False) for t in range(8)]
-    pulled = cells([*base, (0, 10, 100.0, True, False), (1, 10, 80.0, True, False)])
-    schema = "symbol string, side string, k long, t long, usd double, is_wall boolean, reached boolean"
-    got = B.episodes(spark.createDataFrame(pulled, schema), 1).collect()
-    assert [(r.k, r.fate, r.last_t, r.absent_t) for r in got] == [(10, "PULLED", 1, 2)]
-    moved = cells([*base, (0, 10, 100.0, True, False), (1, 12, 90.0, False, False)])
-    assert {r.fate for r in B.episodes(spark.createDataFrame(moved, schema), 1).collect()} == {"MOVED"}
-    reached = cells([*base, (0, 10, 100.0, True, False), (1, 10, 10.0, False, True)])
-    assert {r.fate for r in B.episodes(spark.createDataFrame(reached, schema), 1).collect()} == {"REACHED"}
-    hole = cells([(0, 10, 100.0, True, False), (9, 10, 100.0, False, False)])
-    assert {r.fate for r in B.episodes(spark.createDataFrame(hole, schema), 1).collect()} == {"CENSORED"}
+    """Bucket 1 keeps the book deep, so that an empty bucket 10 counts as observed."""
+    deep = [("s", "bid", 1, t, 1.0, False) for t in range(8)]
+
+    def fates(rows, prices, flows=None):
+        cells = spark.createDataFrame([r + (flows or {}).get((r[2], r[3]), (0.0, 0.0)) for r in rows], "symbol string, side string, k long, t long, usd double, is_wall boolean, traded double, removed double")
+        p = spark.createDataFrame([("s", t, *x, True) for t, x in prices.items()], "symbol string, t long, lo double, hi double, clean boolean")
+        judge = B.photo_fates if flows is None else B.flow_fates
+        return [(r.k, r.fate, r.last_t, r.absent_t) for r in judge(B.episodes(cells, 1), cells, p, 1.0).collect()]
+
+    high = dict.fromkeys(range(10), (50.0, 60.0))
+    wall = [*deep, ("s", "bid", 10, 0, 100.0, True), ("s", "bid", 10, 1, 80.0, True)]
+    assert fates(wall, high) == [(10, "PULLED", 1, 2)]
+    assert fates([*wall, ("s", "bid", 12, 2, 90.0, False)], high) == [(10, "MOVED", 1, 2)]
+    assert fates([*wall, ("s", "bid", 12, 1, 90.0, False), ("s", "bid", 12, 2, 90.0, False)], high) == [(10, "PULLED", 1, 2)]
+    assert fates(wall, {**high, 2: (10.5, 60.0)}) == [(10, "REACHED", 1, 2)]
+    assert fates(wall, {0: (50.0, 60.0)}) == [(10, "CENSORED", 1, 2)]
+    assert [r[1] for r in fates([("s", "bid", 10, 0, 100.0, True), ("s", "bid", 50, 1, 1.0, False), ("s", "bid", 50, 2, 1.0, False)], high)] == ["CENSORED"]
+    assert [r[1] for r in fates([("s", "bid", 10, 0, 100.0, True), ("s", "bid", 10, 9, 100.0, False)], high)] == ["CENSORED"]
+    gone = [*wall, ("s", "bid", 10, 2, 0.0, False)]
+    assert [r[1] for r in fates(gone, high, {(10, 2): (50.0, 100.0)})] == ["FILLED"]
+    assert [r[1] for r in fates(gone, high, {(10, 2): (49.0, 100.0)})] == ["CANCELLED"]
+    assert [r[1] for r in fates(gone, high, {(10, 2): (49.0, 0.0)})] == ["CENSORED"]
 
 
 def test_upserts_are_idempotent(spark):

@@ -38,71 +38,123 @@ def wall_candidates(cells: DataFrame, min_usd: float = 0.0) -> DataFrame:
     return cells.join(base.select("snap", "side", "base"), ["snap", "side"]).where(wall)
 
 
-EPISODES = "symbol string, side string, k long, first_t long, last_t long, absent_t long, seen long, first_usd double, peak double, fate string"
+EPISODES = "symbol string, side string, k long, first_t long, last_t long, absent_t long, seen array<long>, first_usd double, peak double, ended string"
+
+
+def followed(rows) -> list[dict]:
+    """Wall episodes of one bucket from its (t, hole, usd or None where not observed, is_wall) in time order."""
+    out, now = [], None
+    for t, hole, usd, wall in rows:
+        if now is not None:
+            how = None
+            if hole or usd is None:
+                how = "CENSORED"
+            elif usd >= KEEP * now["peak"]:
+                now.update(last_t=t, absent_t=None, peak=max(now["peak"], usd), seen=[*now["seen"], t], missed=0)
+            else:
+                now.update(missed=now["missed"] + 1, absent_t=t if now["absent_t"] is None else now["absent_t"])
+                how = "GONE" if now["missed"] == MISSES else None
+            if how:
+                out.append({**now, "ended": how})
+                now = None
+        if now is None and wall:
+            now = {"first_t": t, "last_t": t, "absent_t": None, "seen": [t], "first_usd": usd, "peak": usd, "missed": 0}
+    return out + ([{**now, "ended": "ACTIVE"}] if now else [])
 
 
 def episodes(cells: DataFrame, interval: int, gap: float = 3.0) -> DataFrame:
-    """Wall episodes of each symbol and side, with what became of each.
-
-    cells(symbol, side, k, t, usd, is_wall, reached): every bucket of every
-    snapshot. An episode starts at a wall, lasts while the bucket holds half
-    of its running peak, and ends at the second miss in a row; a hole in the
-    snapshots of more than `gap` intervals censors what is open. Fate: REACHED
-    if price traded there by the first miss, MOVED if a bucket within three
-    then newly holds half the peak, else PULLED; ACTIVE at the end.
-    A group is a symbol's side; its rows are folded in time order.
+    """Wall episodes of each bucket and how they ended.
+
+    cells(symbol, side, k, t, usd, is_wall): every bucket of every snapshot.
+    An episode starts at a wall, lasts while the bucket holds half of its
+    running peak, and is GONE at the second miss in a row; `absent_t` is the
+    first miss. A bucket deeper than the side's last one is not observed,
+    which censors it, as does a hole in the snapshots of more than `gap`
+    intervals; what is open at the end is ACTIVE. The running peak makes this
+    a fold; a group is one bucket, with its own snapshots and the two after
+    each, since nothing is open beyond those.
     """
+    key = ["symbol", "side", "k"]
+    order = Window.partitionBy("symbol").orderBy("t")
+    times = cells.select("symbol", "t").distinct().withColumn("i", F.row_number().over(order)).withColumn("hole", F.coalesce(F.col("t") - F.lag("t").over(order) > gap * interval, F.lit(False)))
+    far = cells.groupBy("symbol", "side", "t").agg(F.min("k").alias("least"), F.max("k").alias("most"))
+    walls = cells.where("is_wall").select(*key).distinct()
+    due = cells.join(walls, key, "left_semi").join(times.select("symbol", "t", "i"), ["symbol", "t"]).select(*key, F.explode(F.sequence("i", F.col("i") + MISSES)).alias("i")).distinct()
+    rows = due.join(times, ["symbol", "i"]).join(far, ["symbol", "side", "t"], "left").join(cells.select(*key, "t", "usd", "is_wall"), [*key, "t"], "left")
+    inside = F.when(F.col("side") == "bid", F.col("k") >= F.col("least")).otherwise(F.col("k") <= F.col("most"))
+    rows = rows.select(*key, "t", "hole", F.coalesce("usd", F.when(inside, 0.0)).alias("usd"), F.coalesce("is_wall", F.lit(False)).alias("is_wall"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        symbol, side = pdf["symbol"].iloc[0], pdf["side"].iloc[0]
-        snaps = [(int(t), dict(zip(g["k"].astype(int), g["usd"], strict=True)), set(g["k"][g["is_wall"]].astype(int)), set(g["k"][g["reached"]].astype(int))) for t, g in pdf.sort_values(["t", "k"]).groupby("t")]
-        open_: dict[int, dict] = {}
-        out = []
-
-        def shut(k, e, fate):
-            out.append((symbol, side, k, e["first"], e["last"], e["absent"], e["seen"], e["usd"], e["peak"], fate))
-            del open_[k]
-
-        def fate(k, e):
-            before, after = next(s for s in snaps if s[0] == e["last"]), next(s for s in snaps if s[0] == e["absent"])
-            if k in after[3]:
-                return "REACHED"
-            level = KEEP * e["peak"]
-            near = [k + j for j in range(-MOVED_BY, MOVED_BY + 1) if j]
-            return "MOVED" if any(after[1].get(x, 0) >= level > before[1].get(x, 0) for x in near) else "PULLED"
-
-        for i, (t, usd, walls, _) in enumerate(snaps):
-            if i and t - snaps[i - 1][0] > gap * interval:
-                for k in list(open_):
-                    shut(k, open_[k], "CENSORED")
-            for k in list(open_):
-                e = open_[k]
-                if usd.get(k, 0.0) >= KEEP * e["peak"]:
-                    e.update(last=t, absent=None, misses=0, seen=e["seen"] + 1, peak=max(e["peak"], usd[k]))
-                    continue
-                e["misses"] += 1
-                if e["misses"] == 1:
-                    e["absent"] = t
-                if e["misses"] >= MISSES:
-                    shut(k, e, fate(k, e))
-            for k in sorted(walls - set(open_)):
-                open_[k] = {"first": t, "last": t, "absent": None, "misses": 0, "seen": 1, "usd": usd[k], "peak": usd[k]}
-        for k in list(open_):
-            shut(k, open_[k], "ACTIVE")
-        frame = pd.DataFrame(out, columns=[c.split(" ")[0] for c in EPISODES.split(", ")])
+        pdf = pdf.sort_values("t")
+        usd = [None if x != x else x for x in pdf["usd"]]
+        frame = pd.DataFrame(followed(zip(pdf["t"].tolist(), pdf["hole"], usd, pdf["is_wall"], strict=True)), columns=[c.split(" ")[0] for c in EPISODES.split(", ")])
         frame["absent_t"] = frame["absent_t"].astype("Int64")
-        return frame
+        return frame.assign(**{c: pdf[c].iloc[0] for c in key})
 
-    return cells.groupBy("symbol", "side").applyInPandas(run, EPISODES)
+    return rows.groupBy(*key).applyInPandas(run, EPISODES)
+
+
+def _moved(found: DataFrame, cells: DataFrame) -> DataFrame:
+    """Keys of episodes of which a bucket within three newly holds half the peak at the first miss."""
+    one = ["symbol", "side", "k", "first_t"]
+    gone = found.where("ended = 'GONE'").withColumn("near", F.explode(F.array(*[F.col("k") + j for j in range(-MOVED_BY, MOVED_BY + 1) if j])))
+    at = lambda t, name: cells.select("symbol", "side", F.col("k").alias("near"), F.col("t").alias(t), F.col("usd").alias(name))
+    both = gone.join(at("absent_t", "now_usd"), ["symbol", "side", "near", "absent_t"]).join(at("last_t", "was_usd"), ["symbol", "side", "near", "last_t"], "left")
+    level = KEEP * F.col("peak")
+    return both.where((F.col("now_usd") >= level) & (F.coalesce("was_usd", F.lit(0.0)) < level)).select(*one).distinct().withColumn("moved", F.lit(True))
+
+
+def _reached(width: float) -> Column:
+    return F.when(F.col("side") == "bid", F.col("lo") < (F.col("k") + 1) * width).otherwise(F.col("hi") >= F.col("k") * width)
+
+
+def photo_fates(found: DataFrame, cells: DataFrame, prices: DataFrame, width: float) -> DataFrame:
+    """Episodes with their fate from prices alone; prices(symbol, t, lo, hi) traded since the snapshot before t.
+
+    REACHED if price traded in the bucket up to the first miss, which follows
+    the last sight directly; else MOVED or PULLED. CENSORED without prices.
+    """
+    p = prices.select("symbol", F.col("t").alias("absent_t"), "lo", "hi")
+    all_ = found.join(p, ["symbol", "absent_t"], "left").join(_moved(found, cells), ["symbol", "side", "k", "first_t"], "left")
+    reached = _reached(width)
+    fate = F.when(F.col("ended") != "GONE", F.col("ended")).when(reached.isNull(), "CENSORED").when(reached, "REACHED").when(F.col("moved"), "MOVED").otherwise("PULLED")
+    return all_.withColumn("fate", fate).drop("lo", "hi", "moved")
+
+
+def flow_fates(found: DataFrame, cells: DataFrame, prices: DataFrame, width: float) -> DataFrame:
+    """Episodes with their fate from flows: cells also hold traded and removed value since the snapshot before, prices also `clean`.
+
+    FILLED if trades explain half of what was removed, else MOVED or
+    CANCELLED; CENSORED if the stretch was not clean or nothing was removed.
+    `excess` is traded value beyond the removed.
+    """
+    p = prices.select("symbol", F.col("t").alias("absent_t"), "lo", "hi", "clean")
+    f = cells.select("symbol", "side", "k", F.col("t").alias("absent_t"), F.col("traded").alias("_t"), F.col("removed").alias("_r"))
+    all_ = found.join(p, ["symbol", "absent_t"], "left").join(f, ["symbol", "side", "k", "absent_t"], "left").join(_moved(found, cells), ["symbol", "side", "k", "first_t"], "left")
+    judged = (F.col("ended") == "GONE") & F.coalesce("clean", F.lit(False)) & (F.coalesce("_r", F.lit(0.0)) > 0)
+    traded = F.least("_t", "_r")
+    fate = F.when(F.col("ended") != "GONE", F.col("ended")).when(~judged, "CENSORED").when(traded >= 0.5 * F.col("_r"), "FILLED").when(F.col("moved"), "MOVED").otherwise("CANCELLED")
+    zero = F.lit(0.0)
+    return all_.withColumn("fate", fate).withColumns({
+        "traded": F.when(judged, traded), "cancelled": F.when(judged, F.greatest(zero, F.col("_r") - F.col("_t"))), "excess": F.when(judged, F.greatest(zero, F.col("_t") - F.col("_r"))), "reached": F.when(judged, F.coalesce(_reached(width), F.lit(False))),
+    }).drop("lo", "hi", "clean", "moved", "_t", "_r")
 
 
 def hazard(done: DataFrame) -> DataFrame:
     """Share of ended episodes by fate, and pulls for each snapshot seen."""
     return done.groupBy("symbol", "side").agg(
-        F.count(F.lit(1)).alias("episodes"), F.sum("seen").alias("exposure"), *[F.count_if(F.col("fate") == f).alias(f.lower()) for f in ("REACHED", "MOVED", "PULLED", "CENSORED", "ACTIVE")], F.avg("seen").alias("mean_seen")
+        F.count(F.lit(1)).alias("episodes"), F.sum(F.size("seen")).alias("exposure"), *[F.count_if(F.col("fate") == f).alias(f.lower()) for f in ("REACHED", "MOVED", "PULLED", "CENSORED", "ACTIVE")], F.avg(F.size("seen")).alias("mean_seen")
     ).withColumn("pull_rate", F.try_divide("pulled", "exposure"))
 
 
+def distance_hazard(done: DataFrame, mids: DataFrame, width: float, step: float) -> DataFrame:
+    """Snapshots seen and pulls by distance from the mid, in bands of `step` percent; a pull counts where the wall was seen last. mids(symbol, t, mid)."""
+    seen = done.select("symbol", "side", "k", "last_t", "fate", F.explode("seen").alias("t")).join(mids, ["symbol", "t"])
+    near = F.when(F.col("side") == "bid", F.col("mid") - (F.col("k") + 1) * width).otherwise(F.col("k") * width - F.col("mid")) / F.col("mid") * 100
+    pull = (F.col("t") == F.col("last_t")) & (F.col("fate") == "PULLED")
+    return seen.groupBy("symbol", F.floor(near / step).alias("band")).agg(F.count(F.lit(1)).alias("exposure"), F.count_if(pull).alias("pulls")).withColumn("rate", F.col("pulls") / F.col("exposure"))
+
+
 def depth_quality(rows: DataFrame, limit: float = 0.10) -> DataFrame:
     """15-minute mean and least notional by band, with good and bad snapshots; rows(symbol, ts, pct, depth, notional, ref).
 

@@ -43,36 +43,86 @@ def wall_candidates(spark, sf):
     return wall.select("snap", "side", "k", F.round("usd", 4).alias("usd"), F.round("dist", 6).alias("dist"), F.round("base", 4).alias("base"))
 
 
-def _episodes(spark, sf):
-    cells = _cells(spark, sf)
+_WALLS = f"""{_LEVELS}, md AS (SELECT snap, side, quantile_cont(usd, 0.5) AS mb, min(k) AS least, max(k) AS most FROM g GROUP BY 1, 2),
+ px AS (SELECT snap, quantile_cont(price, 0.1) AS lo, quantile_cont(price, 0.9) AS hi FROM lv GROUP BY 1),
+ sn AS (SELECT snap, datediff('day', DATE '1990-01-01', snap) AS t, row_number() OVER (ORDER BY snap) AS i, coalesce(datediff('day', lag(snap) OVER (ORDER BY snap), snap) > 93, FALSE) AS hole FROM px),
+ wk AS (SELECT DISTINCT g.side, g.k FROM g JOIN md USING (snap, side) WHERE usd >= 2 * mb),
+ dense AS (SELECT wk.side, wk.k, i, t, hole, coalesce(usd, CASE WHEN (wk.side = 'bid' AND wk.k >= least) OR (wk.side = 'ask' AND wk.k <= most) THEN 0.0 END) AS usd, coalesce(usd >= 2 * mb, FALSE) AS wall
+  FROM wk CROSS JOIN sn LEFT JOIN md ON md.snap = sn.snap AND md.side = wk.side LEFT JOIN g ON g.snap = sn.snap AND g.side = wk.side AND g.k = wk.k),
+ st AS (SELECT side, k, 0::BIGINT AS i, FALSE AS op, NULL::BIGINT AS first_t, NULL::BIGINT AS last_t, NULL::BIGINT AS absent_t, []::BIGINT[] AS seen, NULL::DOUBLE AS peak, 0 AS missed, NULL::VARCHAR AS ended, NULL::BIGINT AS e_first, NULL::BIGINT AS e_last, NULL::BIGINT AS e_absent, []::BIGINT[] AS e_seen, NULL::DOUBLE AS e_peak FROM wk
+  UNION ALL SELECT side, k, i, CASE WHEN stays THEN TRUE ELSE wall END, CASE WHEN stays THEN first_t WHEN wall THEN t END, CASE WHEN stays AND NOT miss THEN t WHEN stays THEN last_t WHEN wall THEN t END,
+   CASE WHEN stays AND miss THEN coalesce(absent_t, t) END, CASE WHEN stays AND NOT miss THEN list_append(seen, t) WHEN stays THEN seen ELSE [t] END, CASE WHEN stays THEN greatest(peak, usd) WHEN wall THEN usd END, CASE WHEN stays AND miss THEN missed + 1 ELSE 0 END,
+   how, first_t, last_t, CASE WHEN how = 'GONE' THEN coalesce(absent_t, t) ELSE absent_t END, seen, peak
+  FROM (SELECT *, op AND how IS NULL AS stays FROM (SELECT s.side, s.k, d.i, d.t, d.usd, d.wall, s.op, s.first_t, s.last_t, s.absent_t, s.seen, s.peak, s.missed, coalesce(d.usd < 0.5 * s.peak, FALSE) AS miss,
+   CASE WHEN NOT s.op THEN NULL WHEN d.hole OR d.usd IS NULL THEN 'CENSORED' WHEN d.usd < 0.5 * s.peak AND s.missed = 1 THEN 'GONE' END AS how FROM st s JOIN dense d ON d.side = s.side AND d.k = s.k AND d.i = s.i + 1))),
+ ep AS (SELECT side, k, e_first AS first_t, e_last AS last_t, e_absent AS absent_t, e_seen AS seen, e_peak AS peak, ended FROM st WHERE ended IS NOT NULL
+  UNION ALL SELECT side, k, first_t, last_t, absent_t, seen, peak, 'ACTIVE' FROM st WHERE op AND i = (SELECT max(i) FROM sn)),
+ gt AS (SELECT g.*, t FROM g JOIN sn USING (snap)),
+ mv AS (SELECT DISTINCT ep.side, ep.k, ep.first_t, TRUE AS moved FROM ep JOIN gt n ON n.side = ep.side AND n.t = ep.absent_t AND n.k <> ep.k AND abs(n.k - ep.k) <= 3 LEFT JOIN gt w ON w.side = ep.side AND w.t = ep.last_t AND w.k = n.k WHERE ep.ended = 'GONE' AND n.usd >= 0.5 * peak AND coalesce(w.usd, 0) < 0.5 * peak),
+ aw AS (SELECT ep.*, moved, snap, CASE WHEN ep.side = 'bid' THEN lo < (ep.k + 1) * 50.0 ELSE hi >= ep.k * 50.0 END AS reached FROM ep LEFT JOIN mv USING (side, k, first_t) LEFT JOIN sn ON sn.t = ep.absent_t LEFT JOIN px USING (snap)),
+ ft AS (SELECT *, CASE WHEN ended <> 'GONE' THEN ended WHEN reached IS NULL THEN 'CENSORED' WHEN reached THEN 'REACHED' WHEN moved THEN 'MOVED' ELSE 'PULLED' END AS fate FROM aw)"""
+
+
+def _day(snap):
+    return F.datediff(snap, F.lit("1990-01-01").cast("date")).cast("long").alias("t")
+
+
+def _walls(spark, sf):
+    """Cells with their walls, price ranges and episodes; months are snapshots."""
+    lv = _levels(spark, sf)
+    cells = B.grid(lv, WIDTH)
     base = cells.groupBy("snap", "side").agg(F.percentile("usd", 0.5).alias("base"))
-    traded = _levels(spark, sf).groupBy("snap").agg(F.min("price").alias("lo"))
-    c = cells.join(base, ["snap", "side"]).join(traded, "snap")
-    return B.episodes(
-        c.select(
-            F.lit("all").alias("symbol"), "side", "k", F.datediff("snap", F.lit("1990-01-01").cast("date")).cast("long").alias("t"), "usd", (F.col("usd") >= 2 * F.col("base")).alias("is_wall"),
-            F.when(F.col("side") == "bid", F.col("lo") < (F.col("k") + 1) * WIDTH).otherwise(F.lit(False)).alias("reached"),
-        ),
-        31,
-    )
+    cells = cells.join(base, ["snap", "side"]).select(F.lit("all").alias("symbol"), "side", "k", _day("snap"), "usd", (F.col("usd") >= 2 * F.col("base")).alias("is_wall"))
+    prices = lv.groupBy("snap").agg(F.percentile("price", 0.1).alias("lo"), F.percentile("price", 0.9).alias("hi"), F.percentile("price", 0.5).alias("mid"))
+    return cells, prices.select(F.lit("all").alias("symbol"), _day("snap"), "lo", "hi", "mid", (F.month("snap") != 6).alias("clean")), B.episodes(cells, 31)
 
 
-@query()
+def _fates(spark, sf):
+    cells, prices, found = _walls(spark, sf)
+    return B.photo_fates(found, cells, prices, WIDTH), prices
+
+
+@query(f"WITH RECURSIVE {_WALLS} SELECT 'all' AS symbol, side, k, first_t, last_t, len(seen) AS seen, round(peak, 4) AS peak FROM ep")
 def wall_episodes(spark, sf):
     """Walls followed from month to month."""
-    return _episodes(spark, sf).select("symbol", "side", "k", "first_t", "last_t", "seen", F.round("peak", 4).alias("peak"))
+    return _walls(spark, sf)[2].select("symbol", "side", "k", "first_t", "last_t", F.size("seen").cast("long").alias("seen"), F.round("peak", 4).alias("peak"))
 
 
-@query()
+@query(f"WITH RECURSIVE {_WALLS} SELECT side, k, first_t, absent_t, fate FROM ft")
 def wall_fates(spark, sf):
     """What became of each wall."""
-    return _episodes(spark, sf).select("side", "k", "first_t", "absent_t", "fate")
+    return _fates(spark, sf)[0].select("side", "k", "first_t", "absent_t", "fate")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_WALLS} SELECT 'all' AS symbol, side, count(*) AS episodes, sum(len(seen))::BIGINT AS exposure, {', '.join(f"count(*) FILTER (WHERE fate = '{f.upper()}') AS {f}" for f in ('reached', 'moved', 'pulled', 'censored', 'active'))},
+ round(avg(len(seen)), 8) AS mean_seen, round(count(*) FILTER (WHERE fate = 'PULLED') / sum(len(seen)), 8) AS pull_rate FROM ft GROUP BY side""")
 def wall_hazard(spark, sf):
     """Fates by side and pulls for each month seen."""
-    return B.hazard(_episodes(spark, sf)).withColumn("pull_rate", F.round("pull_rate", 8)).withColumn("mean_seen", F.round("mean_seen", 8))
+    return B.hazard(_fates(spark, sf)[0]).withColumn("pull_rate", F.round("pull_rate", 8)).withColumn("mean_seen", F.round("mean_seen", 8))
+
+
+@query(f"""WITH RECURSIVE {_WALLS}, x AS (SELECT side, k, last_t, fate, unnest(seen) AS t FROM ft),
+ y AS (SELECT floor(100 * CASE WHEN side = 'bid' THEN mid - (k + 1) * 50.0 ELSE k * 50.0 - mid END / mid / 10)::BIGINT AS band, x.t = last_t AND fate = 'PULLED' AS pull FROM x JOIN sn ON sn.t = x.t JOIN mid USING (snap))
+ SELECT 'all' AS symbol, band, count(*) AS exposure, count(*) FILTER (WHERE pull) AS pulls, round(count(*) FILTER (WHERE pull) / count(*), 8) AS rate FROM y GROUP BY band""")
+def wall_distance_hazard(spark, sf):
+    """Pulls for each month seen, by distance from the mid."""
+    done, prices = _fates(spark, sf)
+    return B.distance_hazard(done, prices.select("symbol", "t", "mid"), WIDTH, 10.0).withColumn("rate", F.round("rate", 8))
+
+
+_FLOWED = """fl AS (SELECT side, floor(price / 50.0 + 1e-9)::BIGINT AS k, datediff('day', DATE '1990-01-01', snap) AS absent_t, coalesce(sum(price * qty) FILTER (WHERE qty % 2 = 0), 0) AS tr, coalesce(sum(price * qty) FILTER (WHERE qty % 3 = 0), 0) AS rm FROM lv GROUP BY ALL),
+ ff AS (SELECT aw.*, tr, rm, ended = 'GONE' AND month(snap) <> 6 AND coalesce(rm, 0) > 0 AS judged FROM aw LEFT JOIN fl USING (side, k, absent_t))"""
+
+
+@query(f"""WITH RECURSIVE {_WALLS}, {_FLOWED} SELECT side, k, first_t, CASE WHEN ended <> 'GONE' THEN ended WHEN NOT judged THEN 'CENSORED' WHEN least(tr, rm) >= 0.5 * rm THEN 'FILLED' WHEN moved THEN 'MOVED' ELSE 'CANCELLED' END AS fate,
+ round(CASE WHEN judged THEN least(tr, rm) END, 4) AS traded, round(CASE WHEN judged THEN greatest(0, rm - tr) END, 4) AS cancelled, round(CASE WHEN judged THEN greatest(0, tr - rm) END, 4) AS excess, CASE WHEN judged THEN coalesce(reached, FALSE) END AS reached FROM ff""")
+def wall_flow_fates(spark, sf):
+    """What became of each wall by traded and removed value."""
+    cells, prices, found = _walls(spark, sf)
+    part = lambda n: F.coalesce(F.sum(F.when(F.col("qty") % n == 0, F.col("price") * F.col("qty"))), F.lit(0.0))
+    flows = _levels(spark, sf).groupBy(F.col("side"), B.bucket(F.col("price"), F.lit(WIDTH)).alias("k"), _day("snap")).agg(part(2).alias("traded"), part(3).alias("removed"))
+    done = B.flow_fates(found, cells.join(flows, ["side", "k", "t"], "left"), prices, WIDTH)
+    return done.select("side", "k", "first_t", "fate", *[F.round(c, 4).alias(c) for c in ("traded", "cancelled", "excess")], "reached")
 
 
 def _depth(spark, sf):
