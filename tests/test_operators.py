@@ -1,11 +1,13 @@
 """Operators on hand-made inputs, against plain Python where the result depends on order."""
 
 import datetime as dt
+import itertools
 import math
 import random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -345,6 +347,65 @@ def test_book_sync():
     assert f.apply(20, 22, [(102.0, 1.0)], [], 19) == "crossed"
 
 
+FEED = "market string, seq long, ts double, kind string, u1 long, u2 long, pu long, side string, price double, qty double"
+
+
+def feed(market, seed, snapshots, hours=12):
+    """Change events with holes, crossings, ties and trades without a number; snapshots in some hours only."""
+    r, u, out, seq = random.Random(seed), 100, [], itertools.count()
+    for t in range(0, hours * 3600, 20):
+        kind = "snapshot" if snapshots and t // 3600 % 4 != 2 and r.random() < 0.01 else "trade" if r.random() < 0.2 else "diff"
+        hole = 5 * (r.random() < 0.005)
+        first, u = u + 1 + hole, u + (kind != "trade") * r.choice([1, 1, 1, 2]) + hole
+        for _ in range(r.randint(1, 4) if kind != "snapshot" else 8):
+            side = r.choice("ab")
+            price = r.choice([95.0, 97.0, 99.0, 99.5]) if side == "b" else r.choice([100.0, 101.0, 103.0, 99.4 if r.random() < 0.01 else 106.0])
+            out.append((market, next(seq), t + r.choice([0.0, 0.5]) * (kind == "trade"), kind, first, None if kind == "trade" and r.random() < 0.5 else u, None, side, price, float(r.randint(0, 3))))
+    return out
+
+
+def test_reconstruct_in_stretches(spark):
+    """A market's stretches give the minutes of one fold over all of it, in several tasks, whatever the order of the rows."""
+    parts = {"x": feed("x", 1, True), "y": feed("y", 2, True), None: feed(None, 3, True), "z": feed("z", 4, False)}
+    names = [c.split(" ")[0] for c in FEED.split(", ")]
+    want = [(m, *r) for m, rows in parts.items() for r in B.minute_flows(pd.DataFrame(rows, columns=names), None, 2.0)[0]]
+    rows = [r for p in parts.values() for r in p]
+    random.Random(5).shuffle(rows)
+    with_parts = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.execution.arrow.maxRecordsPerBatch": "7"}
+    for k, v in with_parts.items():
+        spark.conf.set(k, v)
+    try:
+        out = B.reconstruct(spark.createDataFrame(rows, FEED).repartition(5), 2.0, ("seq",)).withColumn("part", F.spark_partition_id()).collect()
+    finally:
+        for k in with_parts:
+            spark.conf.unset(k)
+    key = lambda r: (str(r[0]), *r[1:])
+    assert len(want) > 1000 and sorted((tuple(r)[:-1] for r in out), key=key) == sorted(want, key=key)
+    assert len({r.part for r in out if r.market == "x"}) > 1
+
+
+def test_reconstruct_breaks_ties_by_values(spark):
+    rows = [("x", 0, 0.0, "snapshot", 9, 10, None, s, p, 5.0) for s, p in (("b", 99.0), ("a", 101.0))] + [("x", 0, 61.0, "diff", 10, 11, None, "b", 99.0, q) for q in (1.0, 4.0, 2.0)]
+    got = {tuple(sorted(tuple(r) for r in B.reconstruct(spark.createDataFrame(x, FEED).coalesce(1)).where("minute = 1 and side = 'b'").collect())) for x in (rows, rows[::-1])}
+    assert got == {(("x", 1, "b", 99, 4.0 * 99, 3.0 * 99, 4.0 * 99, 0.0, 1.0),)}
+
+
+def test_reconstruct_holds_only_the_book(monkeypatch):
+    """Minutes come out while most of a stretch has not been read."""
+    monkeypatch.setattr(B, "OUT_ROWS", 10)
+    read = []
+
+    def batches():
+        for m in range(1000):
+            read.append(m)
+            kind = "diff" if m else "snapshot"
+            yield pa.RecordBatch.from_pylist([{"market": "x", "cut": -1, "ts": 60.0 * m, "kind": kind, "u2": m, "u1": m, "pu": None, "side": s, "price": p, "qty": 1.0 + m} for s, p in (("b", 99.0), ("a", 101.0))])
+
+    out = B._stretches(1.0)(batches())
+    assert next(out).num_rows == 10 and len(read) < 10
+    assert 10 + sum(b.num_rows for b in out) == 2000
+
+
 def test_bucket_border(spark):
     assert spark.range(1).select(B.bucket(F.lit(2400.0), F.lit(2.0))).first()[0] == 1200
 

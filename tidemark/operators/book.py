@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -269,27 +271,25 @@ class BookSync:
         return (rest if self.synced else {}), flows
 
 
-def minute_flows(rows: pd.DataFrame, book: BookSync | None = None, width: float = 1.0) -> tuple[list[tuple], BookSync]:
-    """Minutes of one market: rows(ts in seconds, kind, u1, u2, pu, side, price, qty) in order; one change event is all rows of one u2."""
-    book = book or BookSync(False, width)
-    out, minute, ok, seen = [], None, 0, 0
+def _minutes(rows: Iterable[tuple], book: BookSync) -> Iterator[tuple]:
+    """Minutes of rows(ts, kind, u2, u1, pu, side, price, qty) in order, each given as soon as it is over."""
+    minute, ok, seen = None, 0, 0
 
-    def end():
+    def ended() -> Iterator[tuple]:
         rest, flows = book.flush()
         for (side, k), usd in sorted(rest.items()):
-            out.append((minute, side, k, usd, *[flows.get((side, k, f), 0.0) for f in ("added", "removed", "traded")], ok / max(seen, 1)))
+            yield (minute, side, k, usd, *[flows.get((side, k, f), 0.0) for f in ("added", "removed", "traded")], ok / max(seen, 1))
 
-    ordered = rows.sort_values(["ts", "u2"], kind="stable")
-    columns = [ordered[c].tolist() for c in ("ts", "kind", "u2", "u1", "pu", "side", "price", "qty")]
-    for (ts, kind, u2), group in itertools.groupby(zip(*columns, strict=True), key=lambda r: r[:3]):
-        changes = list(group)
+    for (ts, kind, u2), group in itertools.groupby(rows, key=lambda r: r[:3]):
         m = int(ts) // 60
         if minute is not None and m != minute:
-            end()
+            yield from ended()
             ok = seen = 0
         minute = m
         sides: dict[str, list] = {"b": [], "a": []}
-        for r in changes:
+        first = None
+        for r in group:
+            first = first or r
             sides[r[5]].append((float(r[6]), float(r[7])))
         if kind == "snapshot":
             book.snapshot(int(u2), sides["b"], sides["a"])
@@ -298,26 +298,82 @@ def minute_flows(rows: pd.DataFrame, book: BookSync | None = None, width: float
                 for p, q in x:
                     book.trade(p, q, s == "b")
         else:
-            u1, pu = changes[0][3], changes[0][4]
+            u1, pu = first[3], first[4]
             book.apply(int(u1), int(u2), sides["b"], sides["a"], None if pu is None or pu != pu else int(pu))
         seen += 1
         ok += book.synced
     if minute is not None:
-        end()
-    return out, book
+        yield from ended()
 
 
-MINUTES = "market string, minute long, side string, k long, rest double, added double, removed double, traded double, synced double"
+ROW = ("ts", "kind", "u2", "u1", "pu", "side", "price", "qty")
 
 
-def reconstruct(events: DataFrame, width: float = 1.0) -> DataFrame:
-    """Minute flows of every market from its ordered events; a group is one market."""
+def minute_flows(rows: pd.DataFrame, book: BookSync | None = None, width: float = 1.0) -> tuple[list[tuple], BookSync]:
+    """Minutes of one market: rows(ts in seconds, kind, u1, u2, pu, side, price, qty) in order; one change event is all rows of one u2."""
+    book = book or BookSync(False, width)
+    ordered = rows.sort_values(["ts", "u2"], kind="stable")
+    return list(_minutes(zip(*[ordered[c].tolist() for c in ROW], strict=True), book)), book
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, _ = minute_flows(pdf, None, width)
-        return pd.DataFrame([(pdf["market"].iloc[0], *r) for r in rows], columns=[c.split(" ")[0] for c in MINUTES.split(", ")])
 
-    return events.groupBy("market").applyInPandas(run, MINUTES)
+MINUTES = "market string, minute long, side string, k long, rest double, added double, removed double, traded double, synced double"
+#: Minutes of a block, in which a market's book is cut once at most; rows given out at once.
+BLOCK, OUT_ROWS = 60, 10_000
+
+
+def _values(column: pa.Array) -> list:
+    """Null numbers are NaN, so that each differs from every other; a column without any value stays null."""
+    if column.null_count == len(column):
+        return [None] * len(column)
+    if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
+        return column.to_pylist()
+    if not column.null_count:
+        return column.to_numpy(zero_copy_only=False).tolist()
+    return [float("nan") if x is None else x for x in column.to_pylist()]
+
+
+def _stretches(width: float):
+    """Folds rows(market, cut, *ROW) sorted by market, cut and order, one stretch after the other; only the book is held."""
+    names = [c.split(" ")[0] for c in MINUTES.split(", ")]
+    kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), *[pa.float64()] * 5]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def minutes() -> Iterator[tuple]:
+            rows = (r for b in batches for r in zip(*[_values(b.column(c)) for c in ("market", "cut", *ROW)], strict=True))
+            for (market, cut), group in itertools.groupby(rows, key=lambda r: r[:2]):
+                for m in _minutes((r[2:] for r in group), BookSync(False, width)):
+                    if m[0] != cut:
+                        yield (market, *m)
+
+        found = minutes()
+        while part := list(itertools.islice(found, OUT_ROWS)):
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*part, strict=True), kinds, strict=True)], names=names)
+
+    return run
+
+
+def reconstruct(events: DataFrame, width: float = 1.0, order: tuple[str, ...] = ()) -> DataFrame:
+    """Minute flows of every market from events(market, *ROW).
+
+    Events go by ts and u2, rows of one event by the columns `order`, then by
+    their values. A snapshot replaces the whole book, so a market is cut at
+    the last minute with a snapshot of each block: a stretch starts from an
+    empty book with that minute, whose rows it is given besides the stretch
+    before, and gives out the minutes after it up to the next cut. Rows
+    before a market's first block with a snapshot have no book and give
+    nothing, rows without a time have no minute.
+    """
+    timed = events.select("market", *ROW, *order).withColumn("_minute", F.floor(F.col("ts").cast("long") / 60)).withColumn("_block", F.floor(F.col("_minute") / BLOCK))
+    blocks = timed.groupBy("market", "_block").agg(F.max(F.when(F.col("kind") == "snapshot", F.col("_minute"))).alias("_own"))
+    past = Window.partitionBy("market").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_past", F.last("_own", ignorenulls=True).over(past)).where("_own is not null or _past is not null")
+    b = blocks.select(F.col("market").alias("_market"), F.col("_block").alias("_of"), "_own", "_past")
+    rows = timed.join(b, F.col("market").eqNullSafe(F.col("_market")) & (F.col("_block") == F.col("_of")))
+    before = F.coalesce("_past", F.lit(-(2**63)))
+    cuts = F.when(F.col("_minute") > F.col("_own"), F.array("_own")).when(F.col("_minute") == F.col("_own"), F.array(before, "_own")).otherwise(F.array(before))
+    dealt = rows.select("market", F.explode(cuts).alias("cut"), *ROW, *order).repartition("market", "cut")
+    last = [F.asc_nulls_last(c) for c in ("ts", "u2", *order, "kind", "side", "price", "qty", "u1", "pu")]
+    return dealt.sortWithinPartitions("market", "cut", *last).select("market", "cut", *ROW).mapInArrow(_stretches(width), MINUTES)
 
 
 def book_check(ours: DataFrame, snapshot: DataFrame, uid: int) -> DataFrame:

@@ -219,17 +219,18 @@ def stream_gate(spark, sf):
 
 
 def _events(spark, sf):
-    """Change events of two markets made from lineitem: a snapshot, then one event for each order, with a hole here and there."""
+    """Change events of two markets made from lineitem: a snapshot, then one event for each order, with a hole here and there; rows of an event as they are stored."""
     t = inputs.table(spark, sf, "lineitem")
     u = F.col("l_orderkey")
     return t.select(
         F.when(F.col("l_linestatus") == "F", "one").otherwise("two").alias("market"), (u * 5).cast("double").alias("ts"), F.when(u % 400 == 0, "snapshot").otherwise("diff").alias("kind"), (u - 1).alias("u1"), u.alias("u2"), F.lit(None).cast("long").alias("pu"),
         F.when(F.col("l_linenumber") % 2 == 0, "b").otherwise("a").alias("side"), F.when(F.col("l_linenumber") % 2 == 0, 1000 - F.col("l_quantity")).otherwise(1001 + F.col("l_quantity")).alias("price"), (F.col("l_linenumber") % 4).cast("double").alias("qty"),
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"),
     )
 
 
 @query()
 def stream_book_minutes(spark, sf):
     """Books put together from change events, by minute, side and bucket."""
-    m = B.reconstruct(_events(spark, sf), 10.0)
+    m = B.reconstruct(_events(spark, sf), 10.0, ("file", "row"))
     return m.select("market", "minute", "side", "k", *[F.round(c, 6).alias(c) for c in ("rest", "added", "removed", "traded", "synced")])
